@@ -1,0 +1,150 @@
+"""Text matchers that turn a rule into one Spark Column.
+
+A rule is written as a word list, a chain of word lists on one line, or a Java
+regular expression.  Each form gives the same answer as a search with the plain
+regular expression, but the costly part only runs on rows that hold the words it
+cannot match without: substring tests stay in generated code and read the UTF-8
+bytes once, while a regular expression decodes the whole text on every call.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# The characters a text search treats as white space and as word
+# characters, spelled out because the default Java classes cover ASCII only.
+SPACE_CHARS = r"\t\n\x0b\f\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+INLINE_SPACE_CHARS = SPACE_CHARS.replace(r"\n", "")
+S = f"[{SPACE_CHARS}]"
+INLINE_S = f"[{INLINE_SPACE_CHARS}]"
+W = r"[\p{L}\p{N}_]"
+# Letters outside ASCII that equal an ASCII letter when case is ignored.  Rows
+# that hold one of them take the regular expression; all others may be lower-cased.
+ODD_CASE = r"[\u017f\u212a\u0130\u0131]"
+
+
+@dataclass(frozen=True)
+class Text:
+    """A text column with the two columns derived from it once per row."""
+
+    raw: Column
+    low: Column
+    odd: Column
+
+    @staticmethod
+    def named(raw: str, low: str, odd: str) -> "Text":
+        return Text(F.col(raw), F.col(low), F.col(odd))
+
+
+def lowered(col: Column) -> Column:
+    return F.lower(col)
+
+
+def has_odd_case(col: Column) -> Column:
+    """True when lower-casing the text is not enough to ignore case."""
+    # Every such letter takes two or three bytes, so plain ASCII rows skip the search.
+    return (F.octet_length(col) != F.char_length(col)) & col.rlike(ODD_CASE)
+
+
+def _shortest(words: Sequence[str]) -> list[str]:
+    """Drop words that contain another word of the list; they add nothing to an OR."""
+    kept: list[str] = []
+    for w in sorted(set(words), key=lambda w: (len(w), words.index(w))):
+        if not any(k in w for k in kept):
+            kept.append(w)
+    return sorted(kept, key=words.index)
+
+
+def any_of(tests: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
+def all_of(tests: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a & b, tests)
+
+
+def _contains_any(text: Text, words: Sequence[str], fold: bool) -> Column:
+    col = text.low if fold else text.raw
+    return any_of([col.contains(w) for w in _shortest([w.lower() for w in words] if fold else list(words))])
+
+
+def alternation(words: Sequence[str]) -> str:
+    return "(?:" + "|".join(re.escape(w) for w in words) + ")"
+
+
+@dataclass(frozen=True)
+class Words:
+    """At least one of the words occurs; `fold` ignores case."""
+
+    words: tuple[str, ...]
+    fold: bool = False
+
+    def regex(self) -> str:
+        return ("(?iu)" if self.fold else "") + alternation(self.words)
+
+    def on(self, text: Text) -> Column:
+        found = _contains_any(text, self.words, self.fold)
+        if not self.fold:
+            return found
+        return F.when(text.odd, text.raw.rlike(self.regex())).otherwise(found)
+
+
+@dataclass(frozen=True)
+class Chain:
+    """One word of each list, in this order, on one line.
+
+    The pattern takes the earliest word of each list inside an atomic group, so a
+    line is read once however many candidates it holds.  This is exact because no
+    word of a list sits inside another word of the same list.
+    """
+
+    parts: tuple[tuple[str, ...], ...]
+    fold: bool = False
+
+    def regex(self) -> str:
+        flags = "(?dmiu)" if self.fold else "(?dm)"
+        return flags + "^" + "".join(rf"(?>[^\n]*?{alternation(p)})" for p in self.parts)
+
+    def on(self, text: Text) -> Column:
+        possible = all_of([_contains_any(text, p, self.fold) for p in self.parts])
+        if self.fold:
+            possible = text.odd | possible
+        return possible & text.raw.rlike(self.regex())
+
+
+@dataclass(frozen=True)
+class Pattern:
+    """A Java regular expression and the word lists every match must draw from."""
+
+    body: str
+    needs: tuple[tuple[str, ...], ...]
+    fold: bool = False
+    flags: str = "d"
+
+    def regex(self) -> str:
+        return f"(?{self.flags}{'iu' if self.fold else ''}){self.body}"
+
+    def on(self, text: Text) -> Column:
+        possible = all_of([_contains_any(text, p, self.fold) for p in self.needs])
+        if self.fold:
+            possible = text.odd | possible
+        return possible & text.raw.rlike(self.regex())
+
+
+@dataclass(frozen=True)
+class OneOf:
+    """Any of several matchers, cheapest first."""
+
+    options: tuple[Words | Chain | Pattern, ...]
+
+    def on(self, text: Text) -> Column:
+        return any_of([o.on(text) for o in self.options])
+
+
+Matcher = Words | Chain | Pattern | OneOf
