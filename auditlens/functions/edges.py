@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from auditlens.functions.matching import INLINE_S, INLINE_SPACE_CHARS
+from auditlens.functions.text import has_triple_quote
 
 FILLER = "."
 _BLANK = f"(?:{INLINE_S}*+\\n)*+"
@@ -49,8 +50,13 @@ def lex_blocks(text: Column, start: str, later_double: Column, later_single: Col
     def run(open_quotes: str) -> Column:
         return F.regexp_replace(source, f"{closed}|({open_quotes})[\\s\\S]*\\z", "$1")
 
+    # A text without the quotes that matter is all code, or all inside the block.
+    if start == "code":
+        plain = F.when(~has_triple_quote(text), F.concat(text, F.lit(_END)))
+    else:
+        plain = F.when(~text.contains(OPENERS[start]), F.lit(OPENERS[start]))
     return (
-        F.when(later_double & later_single, run("\"\"\"|'''"))
+        plain.when(later_double & later_single, run("\"\"\"|'''"))
         .when(later_double, run('"""'))
         .when(later_single, run("'''"))
         .otherwise(F.regexp_replace(source, closed, ""))

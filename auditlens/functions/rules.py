@@ -6,10 +6,10 @@ depend on them letter by letter.
 
 from __future__ import annotations
 
-from auditlens.functions.matching import Chain, Matcher, OneOf, Pattern, S, W, Words
+from auditlens.functions.matching import Chain, OneOf, Pattern, Rule, S, W, Words
 
 # Frameworks in reporting order, with the words that reveal them.
-FRAMEWORKS: dict[str, Matcher] = {
+FRAMEWORKS: dict[str, Rule] = {
     "langchain": Words(("from langchain", "import langchain", "ChatOpenAI", "LLMChain", "AgentExecutor")),
     "crewai": OneOf((Words(("from crewai", "import crewai", "Crew(")), Chain((("Agent(",), ("role=",))))),
     "autogen": Words(("from autogen", "import autogen", "AssistantAgent", "UserProxyAgent")),
@@ -66,7 +66,7 @@ _TRY = f"{_NOT_WORD_BEFORE}try{_NOT_WORD_AFTER}"
 _EXCEPT = f"{_NOT_WORD_BEFORE}except{_NOT_WORD_AFTER}"
 
 # Signals read from the code as it stands.
-CODE_SIGNALS: dict[str, Matcher] = {
+CODE_SIGNALS: dict[str, Rule] = {
     "llm_call": Words((_CHAT_CREATE, ".invoke(", ".run(", ".generate(", ".predict(")),
     # Three notions of "this is AI code"; they differ on purpose.
     "ai_import": _AI_IMPORT,
@@ -219,13 +219,13 @@ CODE_SIGNALS: dict[str, Matcher] = {
 }
 
 # Whether a file holds each half of the error-handling pattern, for project roll-ups.
-HALF_SIGNALS: dict[str, Matcher] = {
+HALF_SIGNALS: dict[str, Rule] = {
     "try_word": Pattern(_TRY, needs=(("try",),)),
     "except_word": Pattern(_EXCEPT, needs=(("except",),)),
 }
 
 # Signals read from the code after comments and triple-quoted blocks are removed.
-BARE_SIGNALS: dict[str, Matcher] = {
+BARE_SIGNALS: dict[str, Rule] = {
     "defence_strong": OneOf(
         (
             Words(
@@ -270,7 +270,7 @@ BARE_SIGNALS: dict[str, Matcher] = {
 }
 
 # Fixed values: (name, weight, rule) in reporting order.
-INJECTION_RULES: tuple[tuple[str, float, Matcher], ...] = (
+INJECTION_RULES: tuple[tuple[str, float, Rule], ...] = (
     (
         "role_override",
         0.9,

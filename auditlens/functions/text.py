@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlens.functions.matching import INLINE_S, INLINE_SPACE_CHARS
 
+_OTHER_BREAKS = r"\r\x0b\f\x1c-\x1e\x85\u2028\u2029"
 _BREAKS = r"\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029"
 _ANY_BREAK = f"\\r\\n|[{_BREAKS}]"
 _QUOTES = "(?:\"\"\"|''')"
@@ -21,8 +22,10 @@ _TYPE_NAMES = ("str", "int", "float", "bool", "list", "dict", "List", "Dict", "O
 
 def count_lines(text: Column) -> Column:
     """Number of lines; a final line break does not start another line."""
-    breaks = F.regexp_count(text, F.lit(_ANY_BREAK))
-    return breaks + F.when(text.rlike(f"[^{_BREAKS}]\\z"), 1).otherwise(0)
+    newlines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    breaks = F.when(text.rlike(f"[{_OTHER_BREAKS}]"), F.regexp_count(text, F.lit(_ANY_BREAK))).otherwise(newlines)
+    ended = F.right(text, F.lit(1)).rlike(f"[{_BREAKS}]")
+    return breaks + F.when((text == "") | ended, 0).otherwise(1)
 
 
 def count_public_definitions(code: Column) -> Column:

@@ -339,18 +339,27 @@ def scan_code(df: DataFrame, code: str = "code", keep: list[str] | None = None)
 
 def explode_findings(scanned: DataFrame, keep: list[str]) -> DataFrame:
     """One row per finding with its position `ord` (from 0)."""
-    return scanned.select(*keep, F.posexplode("findings").alias("ord", "finding")).select(
-        *keep, "ord", *[F.col("finding")[f].alias(f) for f in FINDING_FIELDS]
-    )
+    rows = explode_in_order(scanned, keep, "findings", "finding")
+    return rows.select(*keep, "ord", *[F.col("finding")[f].alias(f) for f in FINDING_FIELDS])
+
+
+def explode_in_order(df: DataFrame, keep: list[str], items: str, item: str) -> DataFrame:
+    """One row per array item with its position `ord`; rows without items are left out.
+
+    Written as an outer explode: for a plain one Spark adds a filter on the array's
+    size and moves it below the projection, which would evaluate every rule again.
+    """
+    exploded = df.select(*keep, F.posexplode_outer(items).alias("ord", item))
+    return exploded.where(F.col("ord").isNotNull())
 
 
 def run_check(df: DataFrame, check: str, code: str = "code", keep: list[str] | None = None) -> DataFrame:
     """Run a single check; rows for which it does not apply are left out."""
     keep = [c for c in df.columns if c != code] if keep is None else keep
     emitted, finding = finding_columns()[check]
-    signals = with_signals(df, code, CHECK_SIGNALS[check])
-    applies = F.col(CHECK_SIGNALS[check][0]).isNotNull()
-    rows = signals.where(applies if emitted is None else applies & emitted)
+    rows = with_signals(df.where(F.col(code).isNotNull()), code, CHECK_SIGNALS[check])
+    if emitted is not None:
+        rows = rows.where(emitted)
     return rows.select(*keep, finding.alias("finding")).select(
         *keep, *[F.col("finding")[f].alias(f) for f in FINDING_FIELDS]
     )

@@ -69,12 +69,6 @@ def project_scan_rollup(files: DataFrame) -> DataFrame:
     return with_summary(findings_from_signals(_rolled_up(file_signals(files)), ["project"]))
 
 
-def _scratch_text(df: DataFrame, name: str) -> tuple[DataFrame, Text]:
-    low, odd = f"{name}__low", f"{name}__odd"
-    ready = df.withColumns({low: lowered(F.col(name)), odd: has_odd_case(F.col(name))})
-    return ready, Text.named(name, low, odd)
-
-
 def _rounds(rows: DataFrame, group: int) -> int:
     last = rows.agg(F.max("position")).first()[0] or 0
     rounds = 1
@@ -93,100 +87,113 @@ def _merge_edges(placed: DataFrame, group: int) -> DataFrame:
     `found_*` are flags and `extra_documented` the definitions whose docstring
     opens the next file.
     """
+    flags = [f"found_{n}" for n in (*CROSSING, *BARE_SIGNALS)]
+    code, bare = F.col("code_edge"), F.col("bare_edge")
     rows = placed.select(
         "project",
-        ((F.col("position") - 1)).alias("at"),
-        "code_edge",
-        "bare_edge",
-        *[F.lit(False).alias(f"found_{n}") for n in (*CROSSING, *BARE_SIGNALS)],
+        (F.col("position") - 1).alias("at"),
+        code,
+        bare,
+        *[F.lit(False).alias(f) for f in flags],
         F.lit(0).cast("long").alias("extra_documented"),
     )
     for _ in range(_rounds(placed, group)):
-        parts = (
-            rows.withColumn("inner", T.count_documented_definitions(F.col("code_edge")))
-            .groupBy("project", F.floor(F.col("at") / group).alias("block"))
-            .agg(
-                # At most `group` short rows.
-                _in_order(["code_edge", "bare_edge"]).alias("parts"),
-                F.sum("inner").alias("inner"),
-                F.sum("extra_documented").alias("extra_documented"),
-                *[F.bool_or(f"found_{n}").alias(f"found_{n}") for n in (*CROSSING, *BARE_SIGNALS)],
-            )
+        parts = rows.groupBy("project", F.floor(F.col("at") / group).alias("block")).agg(
+            # At most `group` short rows.
+            _in_order(["code_edge", "bare_edge"]).alias("parts"),
+            F.sum(F.col("extra_documented") - T.count_documented_definitions(code)).alias("extra_documented"),
+            *[F.bool_or(f).alias(f) for f in flags],
         )
-        merged = parts.withColumns(
-            {n: F.array_join(F.col(f"parts.{n}"), GAP) for n in ("code_edge", "bare_edge")}
+        merged = parts.select(
+            "project",
+            "block",
+            "extra_documented",
+            *flags,
+            *[F.array_join(F.col(f"parts.{n}"), GAP).alias(n) for n in ("code_edge", "bare_edge")],
         )
-        merged, code = _scratch_text(merged, "code_edge")
-        merged, bare = _scratch_text(merged, "bare_edge")
+        found = [F.col(f"found_{n}") | CODE_SIGNALS[n].search(code) for n in CROSSING]
+        found += [F.col(f"found_{n}") | BARE_SIGNALS[n].search(bare) for n in BARE_SIGNALS]
         rows = merged.select(
             "project",
             F.col("block").alias("at"),
-            edge(F.col("code_edge")).alias("code_edge"),
-            edge(F.col("bare_edge")).alias("bare_edge"),
-            *[(F.col(f"found_{n}") | CODE_SIGNALS[n].on(code)).alias(f"found_{n}") for n in CROSSING],
-            *[(F.col(f"found_{n}") | BARE_SIGNALS[n].on(bare)).alias(f"found_{n}") for n in BARE_SIGNALS],
-            (
-                F.col("extra_documented")
-                + T.count_documented_definitions(F.col("code_edge"))
-                - F.col("inner")
-            ).alias("extra_documented"),
+            edge(code).alias("code_edge"),
+            edge(bare).alias("bare_edge"),
+            *[c.alias(f) for c, f in zip(found, flags, strict=True)],
+            (F.col("extra_documented") + T.count_documented_definitions(code)).alias("extra_documented"),
         )
     return rows.drop("at", "code_edge", "bare_edge")
 
 
-def _open_block_signals(files: DataFrame, group: int) -> DataFrame:
-    """The comment-free-code signals of projects where a triple-quoted block may span files.
+def _each_state(*kinds: str) -> list[str]:
+    return [f"{kind}_{s}" for s in STATES for kind in kinds]
 
-    Whether a file begins inside a block depends on every file before it, so each
-    file is read for all three possible beginnings; merging neighbours chains the
-    end of one to the beginning of the next.
-    """
+
+def _lexed_files(files: DataFrame) -> DataFrame:
+    """For every file and every state it may begin in: the state at its end and its code."""
     bare = files.select("project", "path", T.strip_comments(F.col("code")).alias("text"))
     last = bare.groupBy("project").agg(
         F.max(F.when(F.col("text").contains('"""'), F.col("path"))).alias("last_double"),
         F.max(F.when(F.col("text").contains("'''"), F.col("path"))).alias("last_single"),
     )
-    known = bare.join(last, "project").withColumns(
-        {f"later_{q}": F.coalesce(F.col("path") < F.col(f"last_{q}"), F.lit(False)) for q in STATES[1:]}
+    later = {q: F.coalesce(F.col("path") < F.col(f"last_{q}"), F.lit(False)) for q in STATES[1:]}
+    lexed = bare.join(last, "project").select(
+        "project",
+        "path",
+        *[lex_blocks(F.col("text"), s, later["double"], later["single"]).alias(f"lex_{s}") for s in STATES],
+    )
+    ends = lexed.select("project", "path", *[lexed_end(F.col(f"lex_{s}")).alias(f"end_{s}") for s in STATES])
+    code = ends.select(
+        "project",
+        "path",
+        *[F.col(f"end_{s}.state").alias(f"state_{s}") for s in STATES],
+        *[F.col(f"end_{s}.piece").alias(f"text_{s}") for s in STATES],
+    )
+    ready = code.withColumns(
+        {
+            **{f"low_{s}": lowered(F.col(f"text_{s}")) for s in STATES},
+            **{f"odd_{s}": has_odd_case(F.col(f"text_{s}")) for s in STATES},
+        }
     )
-    for s in STATES:
-        known = known.withColumn(f"lex_{s}", lex_blocks(F.col("text"), s, F.col("later_double"), F.col("later_single")))
-    known = known.withColumns({f"end_{s}": lexed_end(F.col(f"lex_{s}")) for s in STATES})
-    known = known.select("project", "path", *[F.col(f"end_{s}.piece").alias(f"text_{s}") for s in STATES],
-                         *[F.col(f"end_{s}.state").alias(f"state_{s}") for s in STATES])
-    flat = _with_state_flags(known, [F.lit(False)] * len(BARE_SIGNALS))
-    placed = with_position(flat, ["project", "path"])
+    flags = [
+        rule.on(Text(f"text_{s}", f"low_{s}", f"odd_{s}")).alias(f"{name}_{s}")
+        for s in STATES
+        for name, rule in BARE_SIGNALS.items()
+    ]
+    edges = [edge(F.col(f"text_{s}")).alias(f"text_{s}") for s in STATES]
+    return ready.select("project", "path", *_each_state("state"), *edges, *flags)
+
+
+def _open_block_signals(files: DataFrame, group: int) -> DataFrame:
+    """The comment-free-code signals of projects where a triple-quoted block may span files.
+
+    Whether a file begins inside a block depends on every file before it, so each
+    file is read for all three possible beginnings; merging neighbours chains the
+    end of one to the beginning of the next.
+    """
+    placed = with_position(cut_lineage(_lexed_files(files)), ["project", "path"])
     rows = placed.withColumn("at", F.col("position") - 1)
+    columns = _each_state("state", "text", *BARE_SIGNALS)
     for _ in range(_rounds(placed, group)):
-        state_cols = [f"{kind}_{s}" for s in STATES for kind in ("state", "text", *BARE_SIGNALS)]
         parts = rows.groupBy("project", F.floor(F.col("at") / group).alias("block")).agg(
-            _in_order(state_cols).alias("parts")
+            _in_order(columns).alias("parts")
+        )
+        chained = parts.select(
+            "project", F.col("block").alias("at"), *[_chain(s).alias(f"run_{s}") for s in STATES]
+        )
+        rows = chained.select(
+            "project",
+            "at",
+            *[F.col(f"run_{s}.state").alias(f"state_{s}") for s in STATES],
+            *[edge(F.col(f"run_{s}.text")).alias(f"text_{s}") for s in STATES],
+            *[
+                (F.col(f"run_{s}.{name}") | rule.search(F.col(f"run_{s}.text"))).alias(f"{name}_{s}")
+                for s in STATES
+                for name, rule in BARE_SIGNALS.items()
+            ],
         )
-        chained = parts.select("project", F.col("block").alias("at"), *[
-            _chain(s).alias(f"run_{s}") for s in STATES
-        ])
-        chained = chained.select("project", "at", *[
-            F.col(f"run_{s}.{kind}").alias(f"{kind}_{s}") for s in STATES for kind in ("state", "text", *BARE_SIGNALS)
-        ])
-        rows = _with_state_flags(chained, None)
     return rows.select("project", *[F.col(f"{n}_code").alias(n) for n in BARE_SIGNALS])
 
 
-def _with_state_flags(rows: DataFrame, initial: list[Column] | None) -> DataFrame:
-    """Judge each state's text, add to the flags found so far, and shorten the text."""
-    keep = [c for c in ("project", "path", "at") if c in rows.columns]
-    texts = {}
-    for s in STATES:
-        rows, texts[s] = _scratch_text(rows, f"text_{s}")
-    out = []
-    for s in STATES:
-        out += [F.col(f"state_{s}"), edge(F.col(f"text_{s}")).alias(f"text_{s}")]
-        for i, (name, rule) in enumerate(BARE_SIGNALS.items()):
-            before = initial[i] if initial is not None else F.col(f"{name}_{s}")
-            out.append((before | rule.on(texts[s])).alias(f"{name}_{s}"))
-    return rows.select(*keep, *out)
-
-
 def _chain(start: str) -> Column:
     """Fold the parts of a group in order, beginning in state `start`."""
     first = F.struct(
@@ -218,28 +225,23 @@ def _chain(start: str) -> Column:
 def merged_signals(files: DataFrame, group: int = GROUP) -> DataFrame:
     """The signals of each project's files merged in path order, a blank line between files."""
     readable = files.where(F.col("code").isNotNull())
-    placed = cut_lineage(with_position(file_signals(readable, edges=True), ["project", "path"]))
+    # Written before the sort: range partitioning reads its input twice, the text must be read once.
+    placed = with_position(cut_lineage(file_signals(readable, edges=True)), ["project", "path"])
     everything = files.where(F.col("code").isNull()).select("project").distinct()
     rolled = _rolled_up(placed.unionByName(everything, allowMissingColumns=True))
     crossing = _merge_edges(placed, group)
     joined = rolled.join(crossing, "project", "left")
-    for n in (*CROSSING, *BARE_SIGNALS):
-        joined = joined.withColumn(n, F.col(n) | F.coalesce(f"found_{n}", F.lit(False)))
-    joined = joined.withColumn("n_documented", F.col("n_documented") + F.coalesce("extra_documented", F.lit(0)))
-    signals = joined.select("project", *FLAGS, *COUNTS)
+    found = {n: F.col(n) | F.coalesce(f"found_{n}", F.lit(False)) for n in (*CROSSING, *BARE_SIGNALS)}
+    found["n_documented"] = F.col("n_documented") + F.coalesce("extra_documented", F.lit(0))
 
     spanning = placed.groupBy("project").agg(F.bool_or("open_block").alias("open")).where("open").select("project")
-    if spanning.isEmpty():
-        return signals
-    exact = _open_block_signals(readable.join(spanning, "project", "left_semi"), group).select(
-        "project", F.lit(True).alias("__spans"), *[F.col(n).alias(f"exact_{n}") for n in BARE_SIGNALS]
-    )
-    replaced = signals.join(exact, "project", "left")
-    for n in BARE_SIGNALS:
-        replaced = replaced.withColumn(
-            n, F.when(F.col("__spans"), F.col(f"exact_{n}")).otherwise(F.col(n))
+    if not spanning.isEmpty():
+        exact = _open_block_signals(readable.join(spanning, "project", "left_semi"), group)
+        joined = joined.join(
+            exact.select("project", *[F.col(n).alias(f"exact_{n}") for n in BARE_SIGNALS]), "project", "left"
         )
-    return replaced.select("project", *FLAGS, *COUNTS)
+        found |= {n: F.coalesce(F.col(f"exact_{n}"), found[n]) for n in BARE_SIGNALS}
+    return joined.select("project", *[found.get(n, F.col(n)).alias(n) for n in (*FLAGS, *COUNTS)])
 
 
 def project_scan_merged(files: DataFrame, group: int = GROUP) -> DataFrame:

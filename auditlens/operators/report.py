@@ -11,7 +11,7 @@ from auditlens.functions.guidance import (
     TEMPLATE_FRAMEWORKS,
     TrustProduct,
 )
-from auditlens.operators.findings import ARTICLES
+from auditlens.operators.findings import ARTICLES, explode_in_order
 
 
 def _of_article(article: int) -> Column:
@@ -25,7 +25,7 @@ def findings_by_article(scanned: DataFrame, keep: list[str]) -> DataFrame:
         for a, t in ARTICLES.items()
     ]
     filled = F.filter(F.array(*groups), lambda g: F.size(g["items"]) > 0)
-    rows = scanned.select(*keep, F.explode(filled).alias("g"))
+    rows = explode_in_order(scanned.select(*keep, filled.alias("groups")), keep, "groups", "g")
     return rows.select(
         *keep,
         F.col("g.article").alias("article"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.functions.rules import BLOCK_THRESHOLD, INJECTION_RULES
+from auditlens.operators.findings import explode_in_order
 from auditlens.operators.signals import code_text, prepare
 
 
@@ -46,9 +47,10 @@ def check_injection(df: DataFrame, text: str = "text") -> DataFrame:
 def injection_hits(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per matched rule: `ord` (from 0), `pattern`, `weight`."""
     keep = [c for c in df.columns if c != text] if keep is None else keep
-    return check_injection(df, text).select(
-        *keep, F.posexplode("detected_patterns").alias("ord", "hit")
-    ).select(*keep, "ord", F.col("hit.pattern").alias("pattern"), F.col("hit.weight").alias("weight"))
+    rows = explode_in_order(check_injection(df, text), keep, "detected_patterns", "hit")
+    return rows.select(
+        *keep, "ord", F.col("hit.pattern").alias("pattern"), F.col("hit.weight").alias("weight")
+    )
 
 
 def top_patterns(screened: DataFrame, keep: list[str], n: int = 3) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.functions import text as T
-from auditlens.functions.matching import Matcher, Text, has_odd_case, lowered
+from auditlens.functions.matching import Rule, Text, has_odd_case, lowered
 from auditlens.functions.rules import BARE_SIGNALS, CODE_SIGNALS, FRAMEWORKS, TRUST_LAYER
 
 COUNTS = ("n_defs", "n_documented", "n_functions", "n_typed")
@@ -38,14 +38,14 @@ def prepare(df: DataFrame, code: str | Column, bare: bool = True) -> DataFrame:
 
 
 def code_text() -> Text:
-    return Text.named(_CODE_TEXT, _LOW, _ODD)
+    return Text(_CODE_TEXT, _LOW, _ODD)
 
 
 def bare_text() -> Text:
-    return Text.named(_BARE, _BARE_LOW, _ODD)
+    return Text(_BARE, _BARE_LOW, _ODD)
 
 
-def match_all(rules: Mapping[str, Matcher], text: Text, prefix: str = "") -> dict[str, Column]:
+def match_all(rules: Mapping[str, Rule], text: Text, prefix: str = "") -> dict[str, Column]:
     return {prefix + name: rule.on(text) for name, rule in rules.items()}
 
 

@@ -18,6 +18,8 @@ from auditlens.plans.samples import (
     TOOLS,
 )
 
+from auditlens.sources.tables import read_text_table
+
 ACTION_TYPES = (*DISPLAY_TYPES, "custom_step")
 
 
@@ -25,6 +27,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return read_text_table(spark, f"{folder}/{name}.parquet")
+
+
 def pick(values: Sequence[str], index: Column) -> Column:
     """The value at `index` (from 0) of a constant list."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values)).cast("int") + 1)
@@ -32,7 +38,7 @@ def pick(values: Sequence[str], index: Column) -> Column:
 
 def code_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """project, path, code, doc_id: a code sample, then the whole document as text or as comments."""
-    docs = table(spark, folder, "documents")
+    docs = text_table(spark, folder, "documents")
     as_comment = F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# ")))
     body = F.when(F.col("doc_id") % 2 == 1, F.col("text")).otherwise(as_comment)
     return docs.select(
@@ -55,7 +61,7 @@ def path_list(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
-    return attach_attacks(table(spark, folder, "conversations"))
+    return attach_attacks(text_table(spark, folder, "conversations"))
 
 
 def attach_attacks(conversations: DataFrame) -> DataFrame:

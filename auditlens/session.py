@@ -25,6 +25,18 @@ def build_session(app: str = "auditlens", cores: str = "*", shuffle_partitions:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a batch input that has fewer partitions than the session has cores.
+
+    Scanning text costs far more than moving it, so one small file must not become
+    one task.  A large input has many splits and is left alone, without a shuffle.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder, so that lost executors cost no recomputation.
 

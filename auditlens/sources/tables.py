@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from auditlens.session import spread
+
 EVENT_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType()),
@@ -22,6 +24,11 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
+def read_text_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table with source code or other long text, spread over all cores."""
+    return spread(spark.read.parquet(path))
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """The event log.  The schema is given, so no file is opened to find it."""
     return spark.read.schema(EVENT_SCHEMA).parquet(path)
