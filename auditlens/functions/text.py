@@ -60,11 +60,6 @@ def strip_blocks(code: Column) -> Column:
     return F.when(has_triple_quote(code), F.regexp_replace(code, blocks, "")).otherwise(code)
 
 
-def strip_comments_and_docstrings(code: Column) -> Column:
-    """Comments go first, so a hash inside a block can take its closing quotes along."""
-    return strip_blocks(strip_comments(code))
-
-
 def half_even_percent(part: Column, whole: Column) -> Column:
     """Whole-number percentage text; a half goes to the even neighbour."""
     return F.bround(percent(part, whole), 0).cast("long").cast("string")

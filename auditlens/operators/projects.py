@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlens.functions import text as T
-from auditlens.functions.edges import STATES, edge, lex_blocks, lexed_end
+from auditlens.functions.edges import OPENERS, STATES, edge, lex_blocks, lexed_end
 from auditlens.functions.matching import Text, has_odd_case, lowered
 from auditlens.functions.rules import BARE_SIGNALS, CODE_SIGNALS, FRAMEWORKS, HALF_SIGNALS, TRUST_LAYER
 from auditlens.operators.findings import findings_from_signals, with_summary
@@ -24,6 +24,7 @@ from auditlens.session import cut_lineage
 
 GROUP = 256  # files, or merged groups of files, that one merge step takes together
 FILES_SHOWN = 20
+BROADCAST_PROJECTS = 100_000
 # Rules whose white space may run from one file into the next.
 CROSSING = ("ai_import", "ai_construct", "ai_context", "trace_import", "tokens_unbounded")
 GAP = "\n\n"
@@ -45,6 +46,8 @@ def file_signals(files: DataFrame, edges: bool = False) -> DataFrame:
         columns["code_edge"] = edge(F.col("__code"))
         columns["bare_edge"] = edge(bare)
         columns["open_block"] = T.has_triple_quote(bare)
+        columns["has_double"] = F.col("__no_comments").contains(OPENERS["double"])
+        columns["has_single"] = F.col("__no_comments").contains(OPENERS["single"])
     return prepared.select("project", "path", *[c.alias(n) for n, c in columns.items()])
 
 
@@ -128,13 +131,12 @@ def _each_state(*kinds: str) -> list[str]:
     return [f"{kind}_{s}" for s in STATES for kind in kinds]
 
 
-def _lexed_files(files: DataFrame) -> DataFrame:
-    """For every file and every state it may begin in: the state at its end and its code."""
+def _lexed_files(files: DataFrame, last: DataFrame) -> DataFrame:
+    """For every file and every state it may begin in: the state at its end and its code.
+
+    `last` has, per project, the last path that holds quotes of each kind.
+    """
     bare = files.select("project", "path", T.strip_comments(F.col("code")).alias("text"))
-    last = bare.groupBy("project").agg(
-        F.max(F.when(F.col("text").contains('"""'), F.col("path"))).alias("last_double"),
-        F.max(F.when(F.col("text").contains("'''"), F.col("path"))).alias("last_single"),
-    )
     later = {q: F.coalesce(F.col("path") < F.col(f"last_{q}"), F.lit(False)) for q in STATES[1:]}
     lexed = bare.join(last, "project").select(
         "project",
@@ -163,14 +165,14 @@ def _lexed_files(files: DataFrame) -> DataFrame:
     return ready.select("project", "path", *_each_state("state"), *edges, *flags)
 
 
-def _open_block_signals(files: DataFrame, group: int) -> DataFrame:
+def _open_block_signals(files: DataFrame, last: DataFrame, group: int) -> DataFrame:
     """The comment-free-code signals of projects where a triple-quoted block may span files.
 
     Whether a file begins inside a block depends on every file before it, so each
     file is read for all three possible beginnings; merging neighbours chains the
     end of one to the beginning of the next.
     """
-    placed = with_position(cut_lineage(_lexed_files(files)), ["project", "path"])
+    placed = with_position(cut_lineage(_lexed_files(files, last)), ["project", "path"])
     rows = placed.withColumn("at", F.col("position") - 1)
     columns = _each_state("state", "text", *BARE_SIGNALS)
     for _ in range(_rounds(placed, group)):
@@ -234,9 +236,13 @@ def merged_signals(files: DataFrame, group: int = GROUP) -> DataFrame:
     found = {n: F.col(n) | F.coalesce(f"found_{n}", F.lit(False)) for n in (*CROSSING, *BARE_SIGNALS)}
     found["n_documented"] = F.col("n_documented") + F.coalesce("extra_documented", F.lit(0))
 
-    spanning = placed.groupBy("project").agg(F.bool_or("open_block").alias("open")).where("open").select("project")
-    if not spanning.isEmpty():
-        exact = _open_block_signals(readable.join(spanning, "project", "left_semi"), group)
+    last = [F.max(F.when(F.col(f"has_{q}"), F.col("path"))).alias(f"last_{q}") for q in STATES[1:]]
+    spanning = placed.groupBy("project").agg(F.bool_or("open_block").alias("open"), *last).where("open").drop("open")
+    count = spanning.count()
+    if count:
+        # One short row per project; the text is not shuffled unless there are very many of them.
+        known = F.broadcast(spanning) if count <= BROADCAST_PROJECTS else spanning
+        exact = _open_block_signals(readable, known, group)
         joined = joined.join(
             exact.select("project", *[F.col(n).alias(f"exact_{n}") for n in BARE_SIGNALS]), "project", "left"
         )

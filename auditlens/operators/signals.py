@@ -21,7 +21,7 @@ FLAGS = (*FRAMEWORK_FLAGS, "trust_layer", *CODE_SIGNALS, *BARE_SIGNALS)
 SIGNALS = (*FLAGS, *COUNTS)
 
 _LOW, _ODD, _BARE, _BARE_LOW = "__low", "__odd", "__bare", "__bare_low"
-_CODE_TEXT = "__code"
+_CODE_TEXT, _NO_COMMENTS = "__code", "__no_comments"
 
 
 def prepare(df: DataFrame, code: str | Column, bare: bool = True) -> DataFrame:
@@ -30,9 +30,11 @@ def prepare(df: DataFrame, code: str | Column, bare: bool = True) -> DataFrame:
     out = df.withColumn(_CODE_TEXT, src)
     cols: dict[str, Column] = {_LOW: lowered(F.col(_CODE_TEXT)), _ODD: has_odd_case(F.col(_CODE_TEXT))}
     if bare:
-        cols[_BARE] = T.strip_comments_and_docstrings(F.col(_CODE_TEXT))
+        # Comments go first, so a hash inside a block can take its closing quotes along.
+        cols[_NO_COMMENTS] = T.strip_comments(F.col(_CODE_TEXT))
     out = out.withColumns(cols)
     if bare:
+        out = out.withColumn(_BARE, T.strip_blocks(F.col(_NO_COMMENTS)))
         out = out.withColumn(_BARE_LOW, lowered(F.col(_BARE)))
     return out
 

@@ -42,6 +42,7 @@ SKIPPED_DIRECTORIES = (
 SKIPPED_SUFFIX = ".egg-info"
 BATCH_BYTES = 32 * 1024 * 1024
 NAMES_PER_BATCH = 20_000
+FILES_PER_TASK = 500
 
 
 def is_skipped(name: str) -> bool:
@@ -108,7 +109,10 @@ _READ = "project string, path string, code string, error string"
 
 
 def _read(files: DataFrame) -> DataFrame:
-    spread = files.select("project", "root", "path").repartition("path")
+    # Names are short but files are not: a fixed number keeps the partitions from being merged.
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, files.count() // FILES_PER_TASK + 1)
+    spread = files.select("project", "root", "path").repartition(tasks, "path")
     return spread.mapInPandas(_read_all, _READ).withColumn("lines", count_lines(F.col("code")))
 
 
@@ -130,8 +134,9 @@ def read_projects(directories: DataFrame) -> DataFrame:
     roots = cut_lineage(roots)
     level = roots.where("exists").select("project", F.col("path").alias("root"), "path")
     files: DataFrame | None = None
+    tasks = directories.sparkSession.sparkContext.defaultParallelism
     while True:
-        listed = cut_lineage(level.repartition("path").mapInPandas(_list_level, _LISTED))
+        listed = cut_lineage(level.repartition(tasks, "path").mapInPandas(_list_level, _LISTED))
         found = listed.where("not is_dir").drop("is_dir")
         files = found if files is None else files.unionByName(found)
         level = listed.where("is_dir").drop("is_dir")
