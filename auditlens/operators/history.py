@@ -68,3 +68,9 @@ def history_rows(scanned: DataFrame, project: str, scan_id: Column, scanned_at:
         "passing",
         F.col("total_checks").alias("total"),
     )
+
+
+def compliance_history(history: DataFrame, action: str = "list") -> DataFrame:
+    """`trend`, `score`, or the list of scans for any other action."""
+    views = {"trend": history_trend, "score": history_score}
+    return views.get(action.lower(), history_list)(history)

@@ -18,7 +18,7 @@ from auditlens.functions.guidance import (
     TrustProduct,
 )
 from auditlens.functions.matching import S
-from auditlens.operators.findings import ARTICLES
+from auditlens.operators.findings import ARTICLES, scan_code
 from auditlens.operators.signals import detect_framework
 
 
@@ -179,11 +179,8 @@ def model_or_rules(df: DataFrame, model_results: DataFrame, keep: list[str], cod
     broadcasts it when its measured size allows; otherwise the sorted join splits a
     code hash shared by very many units at run time.
     """
-    from auditlens.operators.findings import findings_from_signals, with_summary
-    from auditlens.operators.signals import with_signals
-
     hashed = df.withColumn("code_hash", F.sha2(code, 256))
-    scanned = with_summary(findings_from_signals(with_signals(hashed, code), [*keep, "code_hash"]))
+    scanned = scan_code(hashed, code, [*keep, "code_hash"])
     joined = scanned.join(model_results.select("code_hash", "analysis"), "code_hash", "left")
     return joined.withColumn(
         "source", F.when(F.col("analysis").isNotNull(), "model").otherwise("rule-based (no model analysis)")

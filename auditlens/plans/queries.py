@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +23,7 @@ from auditlens.operators import (
     signals,
 )
 from auditlens.plans import corpus, oracle
+from auditlens.session import shared_folder
 from auditlens.sources import python_files, sinks
 from auditlens.sources.binary import decode_source
 from auditlens.streaming import agent_totals, screening
@@ -319,11 +320,7 @@ def l4(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix="auditlens-stream-")
-    now = spark.sql("SELECT uuid() AS u").first()["u"]
-    return f"{base}/stream-{now}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:

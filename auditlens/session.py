@@ -21,6 +21,9 @@ def build_session(app: str = "auditlens", cores: str = "*", shuffle_partitions:
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # Recording the source line of every column call makes large plans slow to build.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
@@ -37,16 +40,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder, so that lost executors cost no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that the cluster names in `spark.checkpoint.dir`.
 
-    The cluster names the folder in `spark.checkpoint.dir`; only a session without
-    one (tests, a laptop) gets a folder of its own.
+    Only a session without that setting (tests, a laptop) gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    return named or context.getCheckpointDir() or tempfile.mkdtemp(prefix="auditlens-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder, so that lost executors cost no recomputation."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auditlens-")
-        )
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

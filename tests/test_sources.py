@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from auditlens.operators import findings, projects, screen
+from auditlens.operators import findings, scan, screen
 from auditlens.sources import python_files, sinks
 from auditlens.sources.binary import decode_source
 from auditlens.streaming import agent_totals, screening
@@ -56,8 +56,11 @@ def test_read_projects(spark, tmp_path):
         "none": f"No Python files found in {tmp_path / 'none'}",
         "gone": f"Directory not found: {tmp_path / 'gone'}",
     }
-    scanned = projects.project_scan_merged(python_files.read_projects(dirs).where("path is not null"))
-    assert {r["project"] for r in scanned.collect()} == {"one", "build"}
+    scanned = {r["project"]: r for r in scan.scan_projects(dirs).collect()}
+    assert scanned["one"]["files_scanned"] == 7 and len(scanned["one"]["files"]) == 7
+    assert scanned["one"]["score"] == "0/12" and scanned["one"]["directory"] == str(tmp_path / "one")
+    assert scanned["none"]["error"].startswith("No Python files") and scanned["none"]["files_scanned"] == 0
+    assert scanned["gone"]["error"].startswith("Directory not found") and scanned["gone"]["findings"] is None
 
 
 def test_read_single_files(spark, tmp_path):
@@ -66,6 +69,10 @@ def test_read_single_files(spark, tmp_path):
     got = {r["path"].rsplit("/", 1)[1]: r for r in rows}
     assert got["a.py"]["lines"] == 2 and got["a.py"]["error"] is None
     assert got["b.py"]["error"] == f"File not found: {tmp_path / 'b.py'}"
+    scanned = {r["path"]: r for r in scan.scan_files(spark, [str(tmp_path / "a.py"), str(tmp_path / "b.py")]).collect()}
+    assert scanned[str(tmp_path / "a.py")]["lines"] == 2
+    assert scanned[str(tmp_path / "a.py")]["failing"] == 3
+    assert scanned[str(tmp_path / "b.py")]["findings"] is None
 
 
 def test_path_filter_agrees_with_the_walk(spark):
