@@ -89,8 +89,9 @@ def agents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def agent_events(spark: SparkSession, folder: str) -> DataFrame:
-    return shape_events(table(spark, folder, "events"))
+def agent_events(spark: SparkSession, folder: str, spread_out: bool = False) -> DataFrame:
+    """The event log; `spread_out` for work that costs much per row, such as hashing."""
+    return shape_events((text_table if spread_out else table)(spark, folder, "events"))
 
 
 def shape_events(events: DataFrame) -> DataFrame:

@@ -184,7 +184,7 @@ ORACLE: dict[str, str] = {
     "g5_findings_by_article": o.SCAN
     + "SELECT project, path, article, CASE article "
     + " ".join(f"WHEN {a} THEN {o.lit(t)}" for a, t in o.TITLES.items())
-    + " END AS title, count(*) AS checks, count(*) FILTER (status = 'pass') AS passing, "
+    + " END AS title, count(*)::INTEGER AS checks, count(*) FILTER (status = 'pass')::INTEGER AS passing, "
     "string_agg(status || ':' || severity || ':' || name || ':' || evidence, '|' ORDER BY ord) AS findings "
     "FROM fnd GROUP BY project, path, article",
     "g6_compliance_report": o.report(),

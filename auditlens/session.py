@@ -33,6 +33,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     Scanning text costs far more than moving it, so one small file must not become
     one task.  A large input has many splits and is left alone, without a shuffle.
+    For tables just read: on a query result, counting partitions would run its joins.
     """
     if df.isStreaming:
         return df

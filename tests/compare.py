@@ -12,6 +12,16 @@ from datetime import date, datetime
 import duckdb
 
 
+TYPES = {
+    "string": "VARCHAR",
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for path in glob.glob(f"{folder}/*.parquet"):
@@ -44,6 +54,10 @@ def differences(spark, con, name: str, query, sql: str, folder: str) -> str | No
     expected = _sorted_rows(names, cur.fetchall())
     if sorted(df.columns) != sorted(names):
         return f"{name}: columns {sorted(df.columns)} != {sorted(names)}"
+    types = {n: TYPES.get(t, t) for n, t in df.dtypes}
+    described = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    if types != described:
+        return f"{name}: types {types} != {described}"
     if len(got) != len(expected):
         return f"{name}: {len(got)} rows != {len(expected)}"
     for a, b in zip(got, expected, strict=True):
