@@ -87,3 +87,35 @@ def test_first_files_are_limited_before_the_shuffle(spark):
 def test_first_page_needs_no_full_sort(spark):
     text = plan(agents.event_page(corpus.agent_events(spark, FOLDER)))
     assert "TakeOrderedAndProject" in text
+
+
+def test_hot_code_hash_is_split(spark):
+    """Copies of one file beyond a third of all rows, and results too many to broadcast."""
+    from pyspark.sql import functions as F
+
+    from auditlens.operators import remediation
+
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k) for k in conf if spark.conf.get(k, None) is not None}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        files = spark.range(0, 6000, 1, 8).select(
+            F.col("id").cast("string").alias("path"),
+            F.when(F.col("id") % 2 == 0, "import openai\n").otherwise(F.concat(F.lit("x = "), F.col("id"))).alias("code"),
+        )
+        results = files.select(F.sha2("code", 256).alias("code_hash"), F.lit("seen").alias("analysis")).distinct()
+        joined = remediation.model_or_rules(files, results, ["path"])
+        rows = joined.collect()
+        assert len(rows) == 6000 and {r["source"] for r in rows} == {"model"}
+        assert "skew=true" in plan(joined)
+    finally:
+        for k in conf:
+            spark.conf.unset(k) if k not in before else spark.conf.set(k, before[k])
