@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -94,3 +95,24 @@ def test_file_list_is_short_and_count_is_not(spark):
     row = projects.project_files(df).first()
     assert row["files_scanned"] == 50
     assert [(f["file"], f["lines"]) for f in row["files"]] == [(f"f{i:03d}.py", i) for i in range(20)]
+
+
+def test_hostile_long_files(spark):
+    """Long lines, long blank runs and many quotes neither take long nor overflow a stack."""
+    codes = [
+        "x\n" + " \n" * 200_000 + "y",
+        "\n" * 300_000,
+        "from " * 60_000,
+        '"""' * 50_001,
+        "''' x " * 40_001,
+        "a\nb\nc\n" + "\t \n" * 100_000,
+        "line\n" * 100_000 + "def f():",
+        " " * 200_000,
+    ]
+    files = [("p", f"{i}.py", c) for i, c in enumerate(codes)]
+    df = spark.createDataFrame(files, "project string, path string, code string")
+    whole = spark.createDataFrame([("p", "\n\n".join(codes))], "project string, code string")
+    start = time.time()
+    got = projects.project_scan_merged(df, 3).first()
+    assert got.asDict(True) == findings.scan_code(whole).first().asDict(True)
+    assert time.time() - start < 90
