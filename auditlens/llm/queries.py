@@ -4,19 +4,63 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlens.llm import simhash_dedup
+from auditlens.llm import (
+    contextual_pii,
+    license_scan,
+    quality_rules,
+    secret_scan,
+    simhash_dedup,
+    source_mixing,
+    token_files,
+)
 from auditlens.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 2
+
+
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, folder))
+
+
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = source_mixing.mixing_copies(documents(spark, folder))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = quality_rules.trusted_ids(documents(spark, folder, "labels"))
+    return quality_rules.quality_verdicts(documents(spark, folder), trusted)
 
 
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.simhash_groups(documents(spark, folder))
 
 
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.round_trip(documents(spark, folder), TOKENIZER, END_ID)
+
+
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return contextual_pii.pii_digest(contextual_pii.find_pii(documents(spark, folder)))
+
+
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secret_digest(secret_scan.find_secrets(documents(spark, folder)))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_license_scan": op3,
+    "op4_source_mixing": op4,
+    "op5_quality_rules": op5,
     "op6_simhash_dedup": op6,
+    "op7_token_files": op7,
+    "op9_contextual_pii": op9,
+    "op10_secret_scan": op10,
 }
-ORACLE: dict[str, str] = {}
+#: What SQL can express; the others are tested against brute force.
+ORACLE: dict[str, str] = {"op3_license_scan": license_scan.oracle_sql()}
