@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from auditlens.llm import (
     contextual_pii,
+    decontaminate,
     license_scan,
     quality_rules,
     secret_scan,
     simhash_dedup,
     source_mixing,
+    substring_dedup,
+    suffix_dedup,
     token_files,
 )
 from auditlens.llm.tables import documents
@@ -23,6 +26,14 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 
 
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.dedup_windows(documents(spark, folder))
+
+
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, folder), documents(spark, folder, "benchmark"))
+
+
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, folder))
 
@@ -45,6 +56,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.round_trip(documents(spark, folder), TOKENIZER, END_ID)
 
 
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.dedup_bytes(documents(spark, folder))
+
+
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return contextual_pii.pii_digest(contextual_pii.find_pii(documents(spark, folder)))
 
@@ -54,11 +69,14 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": op1,
+    "op2_decontaminate": op2,
     "op3_license_scan": op3,
     "op4_source_mixing": op4,
     "op5_quality_rules": op5,
     "op6_simhash_dedup": op6,
     "op7_token_files": op7,
+    "op8_suffix_dedup": op8,
     "op9_contextual_pii": op9,
     "op10_secret_scan": op10,
 }

@@ -208,15 +208,14 @@ def mixing_copies(
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs with every row as many times as the mix takes it, and columns as they were."""
     columns = docs.columns
+    # One pair of keys that are never null, so that the rows are shuffled once.
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id")
     taken = (
         mixing_copies(docs)
         .where("copies > 0")
-        .groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+        .groupBy(key, F.col("digest").alias("__digest"))
         .agg(F.sum("copies").alias("__copies"))
     )
-    marked = docs.withColumn("__digest", F.xxhash64("text")).dropDuplicates(["doc_id", "__digest"])
-    same = marked["doc_id"].eqNullSafe(taken["__id"]) & (marked["__digest"] == taken["__digest"])
-    repeated = marked.join(taken, same).withColumn(
-        "__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))
-    )
-    return repeated.select(*columns)
+    marked = docs.select("*", key, F.xxhash64("text").alias("__digest")).dropDuplicates(["__id", "__digest"])
+    repeated = marked.join(taken, ["__id", "__digest"])
+    return repeated.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
