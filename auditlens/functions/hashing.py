@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,3 +42,25 @@ def canonical_text(fields: Sequence[Column]) -> Column:
         text = f.cast("string")
         parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
     return F.concat(*parts)
+
+
+def exact_number(value: Column) -> Column:
+    """A double as text that no other double has, the same in every engine; never fails.
+
+    A finite number is m * 2^(8k - 53) with whole m and k, written `k:m`.  k follows from
+    the logarithm, shifted so that no value near a step is a power of two; multiplying by
+    powers of two loses nothing.  The two zeros are one value.
+    """
+    k = F.floor((F.log(F.abs(value)) / math.log(2) + 0.37) / 8)
+    shift = 53 - 8 * k
+    half = F.floor(shift / 2)
+    # In two steps, as a single power of two would not do for the smallest and largest numbers.
+    whole = (value * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), shift - half)).cast("long")
+    infinite = F.abs(value) == float("inf")
+    return (
+        F.when(value.isNull(), F.lit(None).cast("string"))
+        .when(F.isnan(value), "NaN")
+        .when(infinite, F.when(value > 0, "Infinity").otherwise("-Infinity"))
+        .when(value == 0, "0")
+        .otherwise(F.concat(k.cast("string"), F.lit(":"), whole.cast("string")))
+    )

@@ -47,7 +47,6 @@ EVENT_FIELDS = (
     "duration_ms",
     "chain_hash",
 )
-PAGE_IN_MEMORY = 10_000
 
 
 def display_type(action: Column) -> Column:
@@ -95,24 +94,29 @@ def event_page(
 ) -> DataFrame:
     """One page of projected events, newest first (time, then id, both descending).
 
-    Spark answers a sort with offset and limit from the first offset + limit rows
-    held in one place.  That is fine for the first pages; a page far down the log
-    is cut out by row position instead.
+    The page is found by row position among narrow (ts, id) rows, however deep it lies;
+    then only events between its first and last key are read.  Events that share a key
+    follow in the order of their other fields, so pages neither overlap nor leave gaps.
     """
     chosen = filter_events(events, agent, action_type)
-    if offset + limit <= PAGE_IN_MEMORY:
-        page = chosen.orderBy(F.col("ts").desc(), F.col("id").desc()).offset(offset).limit(limit)
-        return project_events(page)
-    keys = chosen.select("id", "ts", F.lit(0).alias("one"))
-    total_first = with_position(keys, ["ts", "id"])
-    count = total_first.agg(F.max("position")).scalar()
-    low, high = count - F.lit(offset + limit) + 1, count - F.lit(offset)
-    wanted = total_first.where(F.col("position").between(low, high)).select("id")
-    # At most `limit` keys, so their broadcast is bounded when the page is.
-    small = F.broadcast(wanted) if limit <= PAGE_IN_MEMORY else wanted
-    return project_events(chosen.join(small, "id", "left_semi")).orderBy(
-        F.col("timestamp").desc(), F.col("id").desc()
+    placed = with_position(chosen.select("ts", "id"), ["ts", "id"])
+    key = F.struct("ts", "id")
+    last = placed.agg(F.max("position")).scalar()
+    low, high = last - F.lit(offset + limit) + 1, last - F.lit(offset)
+    ends = placed.where(F.col("position").between(low, high)).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    bounds = ends.first()  # two keys
+    if limit <= 0 or bounds["high"] is None:
+        return project_events(chosen.limit(0))
+    first, final = (F.struct(*[F.lit(bounds[b][c]).alias(c) for c in ("ts", "id")]) for b in ("low", "high"))
+    # Rows of the newest key that belong to the page before this one.
+    skipped = placed.agg(F.count_if(key > final).alias("above")).first()
+    within = chosen.where(
+        F.col("ts").between(F.lit(bounds["low"]["ts"]), F.lit(bounds["high"]["ts"])) & (key >= first) & (key <= final)
     )
+    ties = [F.col(c) for c in chosen.columns if c not in ("ts", "id")]
+    ordered = within.orderBy(F.col("ts").desc(), F.col("id").desc(), *ties)
+    page = ordered.offset(max(0, offset - skipped["above"])).limit(limit)
+    return project_events(page)
 
 
 def agent_lookup(agents: DataFrame, agent_id: str) -> DataFrame:
@@ -140,6 +144,27 @@ def agent_stats(events: DataFrame) -> DataFrame:
     )
 
 
+def agent_stats_lookups(agents: DataFrame, events: DataFrame, requests: DataFrame) -> DataFrame:
+    """Many requests for one agent's totals: each with the totals, or an error text for an unknown agent."""
+    totals = agents_with_stats(agents, events).select(
+        F.col("id").alias("agent_id"),
+        "total_events",
+        "total_tokens",
+        "total_cost",
+        "last_event",
+        F.lit(True).alias("__known"),
+    )
+    missing = F.concat(F.lit("Agent '"), F.col("agent_id"), F.lit("' not found"))
+    return requests.join(totals, "agent_id", "left").select(
+        *requests.columns,
+        "total_events",
+        "total_tokens",
+        "total_cost",
+        "last_event",
+        F.when(F.col("__known").isNull(), missing).alias("error"),
+    )
+
+
 def agents_with_stats(agents: DataFrame, events: DataFrame) -> DataFrame:
     """Every agent with its totals; zeros when it has no events.
 
@@ -187,10 +212,12 @@ def control_events(requests: DataFrame, agents: DataFrame) -> DataFrame:
 
     `requests` has id, agent_id, action (`pause` or `resume`) and ts.  Requests for
     unknown agents make no event.  Status is never stored; it follows from the log.
+    In a chained log, link the events with `chain.extend_chain` before the append.
     """
     known = agents.select(F.col("id").alias("agent_id"))
     valid = requests.join(known, "agent_id", "left_semi")
     pausing = F.col("action") == "pause"
+    # The texts of control events.
     verb = F.when(pausing, "paused").otherwise("resumed")
     columns = {
         "action_type": F.when(pausing, "kill_switch").otherwise("resumed"),

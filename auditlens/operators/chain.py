@@ -20,8 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlens.functions.hashing import canonical_text, hmac_sha256, key_pads
+from auditlens.functions.hashing import canonical_text, exact_number, hmac_sha256, key_pads
 from auditlens.operators.ordering import with_previous
+from auditlens.session import cut_lineage
 
 GENESIS = "genesis"
 ORDER = ("ts", "id")
@@ -39,8 +40,7 @@ def event_digest() -> Column:
                 F.date_format("ts", "yyyyMMddHHmmssSSSSSS"),
                 F.col("risk_score"),
                 F.col("tokens_used"),
-                # Money as whole millionths: the text of a double differs between engines.
-                F.round(F.col("cost_usd") * 1000000, 0).cast("long"),
+                exact_number(F.col("cost_usd")),
                 F.col("duration_ms"),
             ]
         ),
@@ -48,25 +48,55 @@ def event_digest() -> Column:
     )
 
 
+def _with_previous_digest(events: DataFrame, keep: list[str]) -> DataFrame:
+    # Written before the sort, which reads its input twice: every digest is made once.
+    narrow = cut_lineage(events.select("agent_id", *ORDER, *keep, event_digest().alias("digest")))
+    return with_previous(narrow, "agent_id", ORDER, {"previous_digest": "digest"})
+
+
+def _link(events: DataFrame, key: bytes, previous: Column) -> Column:
+    return hmac_sha256(F.concat(previous, F.col("digest")), key_pads(events.sparkSession, key))
+
+
 def expected_links(events: DataFrame, key: bytes, keep: list[str]) -> DataFrame:
     """agent_id, ts, id, the kept columns, and the hash each event should carry.
 
-    Only keys and digests travel through the sort; the event texts do not.
+    Only keys, digests and kept columns travel through the sort.
+    """
+    linked = _with_previous_digest(events, keep)
+    expected = _link(events, key, F.coalesce("previous_digest", F.lit(GENESIS)))
+    return linked.select("agent_id", *ORDER, *keep, "has_previous", expected.alias("expected_hash"))
+
+
+def build_chain(events: DataFrame, key: bytes, keep: list[str] | None = None) -> DataFrame:
+    """Event ids, the kept columns and the chain_hash of each event.
+
+    With all columns of the events kept, this is the chained log itself and needs no join.
     """
-    narrow = events.select("agent_id", *ORDER, *keep, event_digest().alias("digest"))
-    linked = with_previous(narrow, "agent_id", ORDER, {"previous_digest": "digest"})
-    message = F.concat(F.coalesce("previous_digest", F.lit(GENESIS)), "digest")
-    pads = key_pads(events.sparkSession, key)
-    return linked.select(
-        "agent_id", *ORDER, *keep, "has_previous", hmac_sha256(message, pads).alias("expected_hash")
+    keep = [c for c in keep or [] if c not in ("agent_id", *ORDER, "chain_hash")]
+    return expected_links(events, key, keep).select(
+        "agent_id", *ORDER, *keep, F.col("expected_hash").alias("chain_hash")
     )
 
 
-def build_chain(events: DataFrame, key: bytes) -> DataFrame:
-    """Event ids with their chain_hash; join to the events or store beside them."""
-    return expected_links(events, key, []).select(
-        "agent_id", *ORDER, F.col("expected_hash").alias("chain_hash")
+def extend_chain(stored: DataFrame, new: DataFrame, key: bytes) -> DataFrame:
+    """The new events with a chain_hash that links them to their agent's last stored event.
+
+    Stored events keep their hashes; of them one narrow row per agent is needed.  A new
+    event that is not later than its agent's last stored one cannot be appended to a
+    chain and fails the job.
+    """
+    place = F.struct(*ORDER)
+    last = stored.groupBy("agent_id").agg(
+        F.max_by(event_digest(), place).alias("last_digest"), F.max(place).alias("last_place")
     )
+    keep = [c for c in new.columns if c not in ("agent_id", *ORDER, "chain_hash")]
+    joined = _with_previous_digest(new, keep).join(last, "agent_id", "left")
+    late = F.concat(F.lit("not later than the last stored event of its agent: event "), F.col("id").cast("string"))
+    digest = F.coalesce("previous_digest", "last_digest", F.lit(GENESIS))
+    previous = F.when(place <= F.col("last_place"), F.raise_error(late).cast("string")).otherwise(digest)
+    linked = joined.withColumn("chain_hash", _link(new, key, previous))
+    return linked.select(*[c for c in new.columns if c != "chain_hash"], "chain_hash")
 
 
 def chain_breaks(events: DataFrame, key: bytes) -> DataFrame:

@@ -358,9 +358,9 @@ def run_check(df: DataFrame, check: str, code: str = "code", keep: list[str] | N
     keep = [c for c in df.columns if c != code] if keep is None else keep
     emitted, finding = finding_columns()[check]
     rows = with_signals(df.where(F.col(code).isNotNull()), code, CHECK_SIGNALS[check])
-    if emitted is not None:
-        rows = rows.where(emitted)
-    return rows.select(*keep, finding.alias("finding")).select(
+    # In the row, as a filter would be moved below the projection and count everything again.
+    found = rows.select(*keep, F.when(F.lit(True) if emitted is None else emitted, F.array(finding)).alias("found"))
+    return explode_in_order(found, keep, "found", "finding").select(
         *keep, *[F.col("finding")[f].alias(f) for f in FINDING_FIELDS]
     )
 

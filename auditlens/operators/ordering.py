@@ -2,16 +2,18 @@
 
 A window without frame limits sorts a whole group in one task.  Here the rows are
 range-partitioned on the full sort key instead, so a group of any size is spread
-over as many tasks as it needs, and neighbours are found by an equi-join on the
-position.  The order columns must identify a row.
+over as many tasks as it needs.  A row's neighbour is then the row before it in its own
+partition, or the last one of an earlier partition.  The order columns must identify a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditlens.session import cut_lineage
 
@@ -43,20 +45,56 @@ def with_position(df: DataFrame, order: Sequence[str], output: str = "position")
     )
 
 
-def with_previous(
-    df: DataFrame, key: str, order: Sequence[str], values: dict[str, str], position: str = "position"
-) -> DataFrame:
+def _shifted(sources: list[str]):
+    """Per partition, every row with the sources of the row before it; nulls in the first row."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[pa.Array] | None = None
+        for part in parts:
+            if part.num_rows == 0:
+                continue
+            first = last is None
+            columns = [part.column(part.schema.get_field_index(c)) for c in sources]
+            heads = [pa.nulls(1, c.type) for c in columns] if first else last
+            before = [pa.concat_arrays([h, c.slice(0, len(c) - 1)]) for h, c in zip(heads, columns)]
+            opens = pa.array([first] + [False] * (part.num_rows - 1))
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, *before, opens],
+                names=[*part.schema.names, *[f"__before_{c}" for c in sources], "__opens"],
+            )
+            last = [c.slice(len(c) - 1, 1) for c in columns]
+
+    return run
+
+
+def with_previous(df: DataFrame, key: str, order: Sequence[str], values: dict[str, str]) -> DataFrame:
     """Add columns of the previous row of the same key: {output name: source column}.
 
     The first row of a key gets nulls.  `has_previous` tells a missing row from a
-    null value.
+    null value.  The rows are written once after the sort, and shifted by one where they
+    lie: no join finds a neighbour.  (Spark has no function for the row before in the
+    same partition; a window would shuffle the rows again.)
     """
-    placed = with_position(df, [key, *order], position)
-    before = placed.select(
-        F.col(key),
-        (F.col(position) + 1).alias(position),
-        F.lit(True).alias("has_previous"),
-        *[F.col(src).alias(out) for out, src in values.items()],
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sort = [key, *order]
+    ranged = df.repartitionByRange(partitions, *sort).sortWithinPartitions(*sort)
+    placed = cut_lineage(ranged.withColumn("__part", F.spark_partition_id()))
+    sources = list(dict.fromkeys([key, *values.values()]))
+    schema = T.StructType(list(placed.schema.fields))
+    for c in sources:
+        schema = schema.add(f"__before_{c}", placed.schema[c].dataType)
+    shifted = placed.mapInArrow(_shifted(sources), schema.add("__opens", "boolean"))
+
+    # The last row of each partition goes to the next one that has rows: one short row a partition.
+    ends = placed.groupBy("__part").agg(F.max_by(F.struct(*sources), F.struct(*sort)).alias("end"))
+    heads = ends.select("__part", F.lag("end").over(Window.orderBy("__part")).alias("__end"))
+    joined = shifted.join(F.broadcast(heads), "__part")
+
+    def before(c: str) -> Column:
+        return F.when(F.col("__opens"), F.col("__end")[c]).otherwise(F.col(f"__before_{c}"))
+
+    exists = ~F.col("__opens") | F.col("__end").isNotNull()
+    same = exists & before(key).eqNullSafe(F.col(key))
+    return joined.select(
+        *df.columns, *[F.when(same, before(src)).alias(out) for out, src in values.items()], same.alias("has_previous")
     )
-    joined = placed.join(before, [key, position], "left")
-    return joined.withColumn("has_previous", F.coalesce("has_previous", F.lit(False)))

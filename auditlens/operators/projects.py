@@ -24,7 +24,7 @@ from auditlens.session import cut_lineage
 
 GROUP = 256  # files, or merged groups of files, that one merge step takes together
 FILES_SHOWN = 20
-BROADCAST_PROJECTS = 100_000
+BROADCAST_BYTES = 32 << 20
 # Rules whose white space may run from one file into the next.
 CROSSING = ("ai_import", "ai_construct", "ai_context", "trace_import", "tokens_unbounded")
 GAP = "\n\n"
@@ -224,8 +224,21 @@ def _chain(start: str) -> Column:
     return F.aggregate("parts", first, step)
 
 
+def _named(files: DataFrame) -> DataFrame:
+    """Projects under names that are never null, so that joins on them lose nothing."""
+    return files.withColumn("project", F.coalesce(F.concat(F.lit("p"), "project"), F.lit("n")))
+
+
+def _unnamed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("project", F.when(F.col("project") != "n", F.substring("project", 2, 1 << 30)))
+
+
 def merged_signals(files: DataFrame, group: int = GROUP) -> DataFrame:
-    """The signals of each project's files merged in path order, a blank line between files."""
+    """The signals of each project's files merged in path order, a blank line between files.
+
+    Files without a project are one project, whose name is null.
+    """
+    files = _named(files)
     readable = files.where(F.col("code").isNotNull())
     # Written before the sort: range partitioning reads its input twice, the text must be read once.
     placed = with_position(cut_lineage(file_signals(readable, edges=True)), ["project", "path"])
@@ -238,16 +251,19 @@ def merged_signals(files: DataFrame, group: int = GROUP) -> DataFrame:
 
     last = [F.max(F.when(F.col(f"has_{q}"), F.col("path"))).alias(f"last_{q}") for q in STATES[1:]]
     spanning = placed.groupBy("project").agg(F.bool_or("open_block").alias("open"), *last).where("open").drop("open")
-    count = spanning.count()
-    if count:
-        # One short row per project; the text is not shuffled unless there are very many of them.
-        known = F.broadcast(spanning) if count <= BROADCAST_PROJECTS else spanning
+    width = F.octet_length("project") + sum(
+        F.coalesce(F.octet_length(f"last_{q}"), F.lit(0)) for q in STATES[1:]
+    )
+    size = spanning.agg(F.sum(width + 32)).first()[0]
+    if size is not None:
+        # One row per project, broadcast while its measured size allows; beyond, Spark splits hot projects.
+        known = F.broadcast(spanning) if size <= BROADCAST_BYTES else spanning
         exact = _open_block_signals(readable, known, group)
         joined = joined.join(
             exact.select("project", *[F.col(n).alias(f"exact_{n}") for n in BARE_SIGNALS]), "project", "left"
         )
         found |= {n: F.coalesce(F.col(f"exact_{n}"), found[n]) for n in BARE_SIGNALS}
-    return joined.select("project", *[found.get(n, F.col(n)).alias(n) for n in (*FLAGS, *COUNTS)])
+    return _unnamed(joined.select("project", *[found.get(n, F.col(n)).alias(n) for n in (*FLAGS, *COUNTS)]))
 
 
 def project_scan_merged(files: DataFrame, group: int = GROUP) -> DataFrame:
@@ -261,15 +277,15 @@ def project_scan_merged(files: DataFrame, group: int = GROUP) -> DataFrame:
 def project_files(files: DataFrame, shown: int = FILES_SHOWN) -> DataFrame:
     """Per project: how many files were read, and the first `shown` of them with line counts.
 
-    The row limit is applied within each task before the shuffle.
+    The text is read once, into narrow rows; the row limit is applied within each task
+    before the shuffle.
     """
-    readable = files.where(F.col("code").isNotNull())
-    slim = readable.select("project", "path", T.count_lines(F.col("code")).alias("lines"))
-    totals = files.groupBy("project").agg(F.count("code").alias("files_scanned"))
-    first = slim.withColumn("rank", F.row_number().over(Window.partitionBy("project").orderBy("path")))
+    slim = cut_lineage(_named(files).select("project", "path", T.count_lines(F.col("code")).alias("lines")))
+    totals = slim.groupBy("project").agg(F.count("lines").alias("files_scanned"))
+    first = slim.where(F.col("lines").isNotNull()).withColumn("rank", F.row_number().over(Window.partitionBy("project").orderBy("path")))
     listed = (
         first.where(F.col("rank") <= shown)
         .groupBy("project")
         .agg(F.array_sort(F.collect_list(F.struct(F.col("path").alias("file"), "lines"))).alias("files"))
     )
-    return totals.join(listed, "project", "left")
+    return _unnamed(totals.join(listed, "project", "left"))

@@ -15,6 +15,7 @@ from auditlens.functions.guidance import (
     FIXES,
     TEMPLATE_ALIASES,
     TEMPLATE_FRAMEWORKS,
+    TEMPLATE_TIP,
     TrustProduct,
 )
 from auditlens.functions.matching import S
@@ -130,7 +131,9 @@ def add_trust_layer(
     Without a given framework the first one detected in the code is used.  The
     code itself stays in its column, unchanged.
     """
-    detected = detect_framework(df, code)
+    # The code is looked at only where no framework is given.
+    unasked = F.nullif(F.col(framework), F.lit("")).isNull()
+    detected = detect_framework(df.withColumn("__code", F.when(unasked, F.col(code))), "__code")
     first = F.coalesce(F.try_element_at("frameworks", F.lit(1)), F.lit(""))
     asked = detected.withColumn("__asked", F.coalesce(F.nullif(F.col(framework), F.lit("")), first))
     spelled = F.regexp_replace(F.lower("__asked"), "[-_ ]", "")
@@ -156,6 +159,7 @@ def add_trust_layer(
         F.when(~missing, instructions(F.col("install_command"), product)).alias("instructions"),
         F.when(missing, unknown).alias("error"),
         F.when(missing, F.lit(", ".join(TEMPLATE_FRAMEWORKS))).alias("supported"),
+        F.when(missing, F.lit(TEMPLATE_TIP)).alias("tip"),
     )
 
 

@@ -5,10 +5,26 @@ from __future__ import annotations
 from auditlens.plans import oracle as o
 from auditlens.plans.samples import DIRECTORIES, FILE_NAMES
 
+# Directory names that are not entered.
 _SKIPPED = (
-    "node_modules,.git,__pycache__,.venv,venv,env,.env,.tox,.mypy_cache,.pytest_cache,"
-    "dist,build,egg-info,.eggs,site-packages,deprecated,archived"
-).split(",")
+    "node_modules",
+    ".git",
+    "__pycache__",
+    ".venv",
+    "venv",
+    "env",
+    ".env",
+    ".tox",
+    ".mypy_cache",
+    ".pytest_cache",
+    "dist",
+    "build",
+    "egg-info",
+    ".eggs",
+    "site-packages",
+    "deprecated",
+    "archived",
+)
 
 _GDPR = {
     "consent": ("email|phone|address|personal_data|user_data", "consent|opt_in|lawful_basis"),
@@ -125,14 +141,8 @@ ORACLE: dict[str, str] = {
     + "SELECT project, path, to_json({'project': project, 'path': path, 'score': score, 'passing': passing, "
     "'trust_layer_detected': trust_layer_detected})::VARCHAR AS json FROM res",
     "a7_report_sink": o.report(),
-    "a8_append_control_event": f"WITH {o.EVENTS}, {o.AGENTS}, req AS (SELECT c_custkey + 1000000000 AS id, "
-    "CASE WHEN c_nationkey = 0 THEN 'ghost-' ELSE 'agent-' END || c_custkey AS agent_id, c_custkey % 2 = 0 AS pausing "
-    "FROM customer), made AS (SELECT * FROM req WHERE agent_id IN (SELECT id FROM agents)) "
-    "SELECT id, agent_id, action_type, human_summary, raw_action, ts, risk_score FROM agent_events UNION ALL "
-    "SELECT id, agent_id, CASE WHEN pausing THEN 'kill_switch' ELSE 'resumed' END, 'Agent ''' || agent_id || ''' ' "
-    "|| CASE WHEN pausing THEN 'paused' ELSE 'resumed' END || ' from dashboard', "
-    "'Agent ' || CASE WHEN pausing THEN 'paused' ELSE 'resumed' END || ' via dashboard', TIMESTAMP '2024-03-01 00:00:00', "
-    "CASE WHEN pausing THEN 'medium' END FROM made",
+    "a8_append_control_event": o.APPENDED
+    + "SELECT id, agent_id, action_type, human_summary, raw_action, ts, risk_score, expected_hash AS chain_hash FROM linked",
     "b1_detect_framework": o.SIGNALS
     + f"SELECT project, path, array_to_string({o.FRAMEWORK_LIST}, ',') AS frameworks FROM sig",
     "b2_detect_trust_layer": o.SIGNALS + "SELECT project, path, trust AS trust_layer_detected FROM sig",
@@ -153,6 +163,13 @@ ORACLE: dict[str, str] = {
     "b10_agent_lookup": f"WITH {o.AGENTS} SELECT event_id AS request, 'agent-' || user_id AS agent_id, name, framework, "
     "CASE WHEN a.id IS NULL THEN 'Agent ''agent-' || user_id || ''' not found' END AS error "
     "FROM events e LEFT JOIN agents a ON a.id = 'agent-' || e.user_id",
+    "b13_agent_stats_lookup": f"WITH {o.EVENTS}, {o.AGENTS}, {_STATS}, req AS (SELECT c_custkey AS request, "
+    "CASE WHEN c_nationkey = 0 THEN 'ghost-' ELSE 'agent-' END || c_custkey AS agent_id FROM customer) "
+    "SELECT request, r.agent_id, CASE WHEN a.id IS NOT NULL THEN coalesce(total_events, 0) END AS total_events, "
+    "CASE WHEN a.id IS NOT NULL THEN coalesce(total_tokens, 0) END AS total_tokens, "
+    "CASE WHEN a.id IS NOT NULL THEN round(coalesce(total_cost, 0), 4) END AS total_cost, last_event, "
+    "CASE WHEN a.id IS NULL THEN 'Agent ''' || r.agent_id || ''' not found' END AS error "
+    "FROM req r LEFT JOIN agents a ON a.id = r.agent_id LEFT JOIN stats s ON s.agent_id = a.id",
     "b11_strip_comments_docstrings": f"WITH {o.CORPUS} SELECT project, path, {o.bare()} AS bare_code FROM corpus",
     "b12_ai_context_flag": o.SIGNALS
     + "SELECT project, path, ai_imp AS ai_import, ai_new AS ai_construct, ai_chat AS ai_context FROM sig",
@@ -165,6 +182,13 @@ ORACLE: dict[str, str] = {
     "j4_explain_join": f"WITH {o.REQUESTS}, {o.EXPLAIN_TABLE} SELECT doc_id, a.article, title, summary, requirements, "
     f"components, CASE WHEN e.article IS NULL THEN {o.NOT_COVERED} END AS error "
     "FROM requests a LEFT JOIN explained e ON a.article = e.article",
+    "j1_fix_findings": o.OPEN + "SELECT * FROM fixed",
+    "j3_trust_findings": o.OPEN
+    + "SELECT project, path, f.article, f.name, fix_framework, t.package AS trust_package, t.install AS trust_install "
+    "FROM fixed f LEFT JOIN templates t ON t.framework = CASE fix_framework WHEN 'rag' THEN 'haystack' ELSE fix_framework END",
+    "j4_explain_findings": o.OPEN
+    + "SELECT project, path, p.article, p.name, e.title, summary, requirements, components FROM open p "
+    "JOIN explained e ON p.article = e.article",
     "j5_agents_with_stats": f"WITH {o.EVENTS}, {o.AGENTS}, {_STATS} SELECT id, coalesce(name, id) AS name, "
     "coalesce(framework, 'custom') AS framework, coalesce(status, 'active') AS status, "
     "coalesce(total_events, 0) AS total_events, coalesce(total_tokens, 0) AS total_tokens, "
@@ -208,6 +232,15 @@ ORACLE: dict[str, str] = {
     "WHERE action_type IN ('kill_switch', 'resumed')) SELECT a.id, coalesce(CASE c.action_type WHEN 'kill_switch' THEN "
     "'paused' WHEN 'resumed' THEN 'active' END, a.status, 'active') AS status, c.ts AS changed_at "
     "FROM agents a LEFT JOIN ctl c ON c.agent_id = a.id AND rn = 1",
+    "w5_verify_after_append": o.AFTER_APPEND
+    + "SELECT log, agent_id AS scope, count(*) AS events, count(*) FILTER (NOT ok) AS broken, bool_and(ok) AS valid, "
+    "CASE WHEN bool_and(ok) THEN 'Chain intact' ELSE 'Chain broken - possible tampering detected' END AS message "
+    "FROM checked GROUP BY log, agent_id",
+    "l1_event_page_repeated": f"WITH {o.EVENTS}, coarse AS (SELECT * REPLACE (CAST(id // 4 AS BIGINT) AS id, "
+    "date_trunc('day', ts)::TIMESTAMP AS ts) FROM agent_events), page AS (SELECT * FROM coarse ORDER BY ts DESC, id DESC, "
+    "agent_id NULLS FIRST, action_type NULLS FIRST, human_summary NULLS FIRST, raw_action NULLS FIRST, "
+    "risk_score NULLS FIRST, tokens_used NULLS FIRST, cost_usd NULLS FIRST, duration_ms NULLS FIRST, "
+    f"chain_hash NULLS FIRST LIMIT 50 OFFSET 7) SELECT {_EVENT_VIEW} FROM page",
     "l1_event_page": f"WITH {o.EVENTS}, page AS (SELECT * FROM agent_events ORDER BY ts DESC, id DESC LIMIT 100) "
     f"SELECT {_EVENT_VIEW} FROM page",
     "l1_event_page_deep": f"WITH {o.EVENTS}, page AS (SELECT * FROM agent_events ORDER BY ts DESC, id DESC "

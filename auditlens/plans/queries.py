@@ -23,8 +23,8 @@ from auditlens.operators import (
     signals,
 )
 from auditlens.plans import corpus, oracle
-from auditlens.session import shared_folder
-from auditlens.sources import python_files, sinks
+from auditlens.session import cut_lineage, remove_folder, shared_folder
+from auditlens.sources import python_files, sinks, tables
 from auditlens.sources.binary import decode_source
 from auditlens.streaming import agent_totals, screening
 
@@ -66,6 +66,17 @@ def _scanned(spark: SparkSession, d: str) -> DataFrame:
     return findings.scan_code(_code(spark, d))
 
 
+def _round_trip(
+    spark: SparkSession, write: Callable[[str], None], read: Callable[[str], DataFrame]
+) -> DataFrame:
+    """What `read` finds in a folder of the shared storage that `write` has filled; the folder goes afterwards."""
+    folder = f"{shared_folder(spark)}/trip-{uuid.uuid4()}"
+    write(folder)
+    back = cut_lineage(read(folder))
+    remove_folder(spark, folder)
+    return back
+
+
 def a1(spark: SparkSession, d: str) -> DataFrame:
     return corpus.path_list(spark, d).where(python_files.keeps_path(F.col("path")))
 
@@ -85,16 +96,27 @@ def a4(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a5(spark: SparkSession, d: str) -> DataFrame:
-    events = corpus.agent_events(spark, d)
-    return events.select("id", "agent_id", "action_type", "ts", "tokens_used", "cost_usd", "duration_ms")
+    log = _round_trip(
+        spark, lambda p: sinks.append_events(corpus.agent_events(spark, d), p), lambda p: tables.read_events(spark, p)
+    )
+    return log.select("id", "agent_id", "action_type", "ts", "tokens_used", "cost_usd", "duration_ms")
 
 
 def a6(spark: SparkSession, d: str) -> DataFrame:
-    rows = _scanned(spark, d).select(*UNIT, "score", "passing", "trust_layer_detected")
+    scanned = _scanned(spark, d)
+    back = _round_trip(
+        spark, lambda p: sinks.write_json(scanned, p), lambda p: spark.read.schema(scanned.schema).json(p)
+    )
+    rows = back.select(*UNIT, "score", "passing", "trust_layer_detected")
     return sinks.with_json(rows, UNIT, pretty=False)
 
 
-def a8(spark: SparkSession, d: str) -> DataFrame:
+def a7(spark: SparkSession, d: str) -> DataFrame:
+    reports = report.compliance_report(_scanned(spark, d), UNIT)
+    return _round_trip(spark, lambda p: sinks.write_reports(reports, p), spark.read.parquet)
+
+
+def _control_events(spark: SparkSession, d: str) -> DataFrame:
     registry = corpus.agents(spark, d)
     # Even customers are paused and odd ones resumed; those of nation 0 ask under an unknown name.
     requests = corpus.table(spark, d, "customer").select(
@@ -105,9 +127,23 @@ def a8(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("c_custkey") % 2 == 0, "pause").otherwise("resume").alias("action"),
         F.lit("2024-03-01 00:00:00").cast("timestamp_ntz").alias("ts"),
     )
-    old = corpus.agent_events(spark, d)
-    both = old.unionByName(agents.control_events(requests, registry))
-    return both.select("id", "agent_id", "action_type", "human_summary", "raw_action", "ts", "risk_score")
+    return agents.control_events(requests, registry)
+
+
+def _appended(spark: SparkSession, d: str) -> DataFrame:
+    """The chained log after control events were linked and appended to its files."""
+
+    def write(path: str) -> None:
+        sinks.append_events(_chained(spark, d), path)
+        stored = tables.read_events(spark, path)
+        sinks.append_events(cut_lineage(chain.extend_chain(stored, _control_events(spark, d), KEY)), path)
+
+    return _round_trip(spark, write, lambda path: tables.read_events(spark, path))
+
+
+def a8(spark: SparkSession, d: str) -> DataFrame:
+    shown = ("id", "agent_id", "action_type", "human_summary", "raw_action", "ts", "risk_score", "chain_hash")
+    return _appended(spark, d).select(*shown)
 
 
 def b1(spark: SparkSession, d: str) -> DataFrame:
@@ -172,6 +208,17 @@ def b10(spark: SparkSession, d: str) -> DataFrame:
     return agents.agent_lookups(corpus.agents(spark, d), wanted)
 
 
+def b13(spark: SparkSession, d: str) -> DataFrame:
+    wanted = corpus.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("request"),
+        F.concat(
+            F.when(F.col("c_nationkey") == 0, "ghost-").otherwise("agent-"), F.col("c_custkey").cast("string")
+        ).alias("agent_id"),
+    )
+    found = agents.agent_stats_lookups(corpus.agents(spark, d), corpus.agent_events(spark, d), wanted)
+    return found.withColumn("total_cost", F.round("total_cost", 4))
+
+
 def b11(spark: SparkSession, d: str) -> DataFrame:
     return signals.strip_comments_docstrings(_code(spark, d)).select(*UNIT, "bare_code")
 
@@ -212,6 +259,29 @@ def j4(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _open_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of the scan that did not pass, with the first framework of their unit."""
+    scanned = _scanned(spark, d).withColumn("framework", F.try_element_at("frameworks", F.lit(1)))
+    long = findings.explode_findings(scanned, [*UNIT, "framework"]).where(F.col("status") != "pass")
+    return long.select(*UNIT, "framework", "article", "name")
+
+
+def j1_findings(spark: SparkSession, d: str) -> DataFrame:
+    return remediation.suggest_fix(_open_findings(spark, d))
+
+
+def j3_findings(spark: SparkSession, d: str) -> DataFrame:
+    informed = remediation.with_trust_info(j1_findings(spark, d))
+    return informed.select(*UNIT, "article", "name", "fix_framework", "trust_package", "trust_install")
+
+
+def j4_findings(spark: SparkSession, d: str) -> DataFrame:
+    explained = remediation.explain_article(_open_findings(spark, d).drop("framework"))
+    return explained.select(
+        *UNIT, "article", "name", "title", "summary", _joined("requirements", "; "), _joined("components", "; ")
+    )
+
+
 def j5(spark: SparkSession, d: str) -> DataFrame:
     listed = agents.agents_with_stats(corpus.agents(spark, d), corpus.agent_events(spark, d))
     return listed.withColumn("total_cost", F.round("total_cost", 4))
@@ -259,7 +329,7 @@ def g8(spark: SparkSession, d: str) -> DataFrame:
 
 def _chained(spark: SparkSession, d: str) -> DataFrame:
     events = corpus.agent_events(spark, d, spread_out=True).drop("chain_hash")
-    return events.join(chain.build_chain(events, KEY), ["agent_id", "ts", "id"])
+    return chain.build_chain(events, KEY, keep=events.columns)
 
 
 def _tampered(spark: SparkSession, d: str) -> DataFrame:
@@ -290,6 +360,17 @@ def w3(spark: SparkSession, d: str) -> DataFrame:
     return chain.build_chain(corpus.agent_events(spark, d, spread_out=True), KEY).select("agent_id", "id", "chain_hash")
 
 
+def w5(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts on the log after an append: as it was written, and with some costs raised later."""
+    log = _appended(spark, d)
+    edited = log.withColumn(
+        "cost_usd",
+        F.when(F.col("id") % 997 == 0, F.coalesce("cost_usd", F.lit(0.0)) + 1).otherwise(F.col("cost_usd")),
+    )
+    intact = chain.verify_agents(log, KEY).withColumn("log", F.lit("intact"))
+    return intact.unionByName(chain.verify_agents(edited, KEY).withColumn("log", F.lit("edited")))
+
+
 def w4(spark: SparkSession, d: str) -> DataFrame:
     return agents.agent_status(corpus.agents(spark, d), corpus.agent_events(spark, d))
 
@@ -302,6 +383,14 @@ def l1_deep(spark: SparkSession, d: str) -> DataFrame:
     return agents.event_page(corpus.agent_events(spark, d), limit=50, offset=9_970)
 
 
+def l1_repeated(spark: SparkSession, d: str) -> DataFrame:
+    """A page that begins and ends among events of one time and id."""
+    events = corpus.agent_events(spark, d).withColumns(
+        {"id": F.floor(F.col("id") / 4), "ts": F.date_trunc("day", "ts").cast("timestamp_ntz")}
+    )
+    return agents.event_page(events, limit=50, offset=7)
+
+
 def l2(spark: SparkSession, d: str) -> DataFrame:
     long = findings.explode_findings(_scanned(spark, d), UNIT)
     totals = long.groupBy("article").agg(
@@ -319,27 +408,26 @@ def l4(spark: SparkSession, d: str) -> DataFrame:
     return top.select("conv_id", "turn", F.array_join(F.col("top_patterns.pattern"), ",").alias("top_patterns"))
 
 
-def _stream_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
-
-
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     schema = corpus.table(spark, d, name).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
 def s1(spark: SparkSession, d: str) -> DataFrame:
-    out = _stream_folder(spark)
-    arriving = corpus.attach_attacks(_stream(spark, d, "conversations"))
-    screening.start_screening(arriving, f"{out}/rows", f"{out}/state", once=True).awaitTermination()
-    return _flat_screen(spark.read.parquet(f"{out}/rows"))
+    def write(out: str) -> None:
+        arriving = corpus.attach_attacks(_stream(spark, d, "conversations"))
+        screening.start_screening(arriving, f"{out}/rows", f"{out}/state", once=True).awaitTermination()
+
+    return _flat_screen(_round_trip(spark, write, lambda out: spark.read.parquet(f"{out}/rows")))
 
 
 def s2(spark: SparkSession, d: str) -> DataFrame:
-    out = _stream_folder(spark)
-    arriving = corpus.shape_events(_stream(spark, d, "events"))
-    agent_totals.start_agent_stats(arriving, f"{out}/rows", f"{out}/state", once=True).awaitTermination()
-    return spark.read.parquet(f"{out}/rows").withColumn("total_cost", F.round("total_cost", 4))
+    def write(out: str) -> None:
+        arriving = corpus.shape_events(_stream(spark, d, "events"))
+        agent_totals.start_agent_stats(arriving, f"{out}/rows", f"{out}/state", once=True).awaitTermination()
+
+    totals = _round_trip(spark, write, lambda out: agent_totals.read_agent_stats(spark, f"{out}/rows"))
+    return totals.withColumn("total_cost", F.round("total_cost", 4))
 
 
 def x1(spark: SparkSession, d: str) -> DataFrame:
@@ -383,7 +471,7 @@ QUERIES: dict[str, Query] = {
     "a4_scan_code_table": a4,
     "a5_event_source": a5,
     "a6_json_sink": a6,
-    "a7_report_sink": g6,
+    "a7_report_sink": a7,
     "a8_append_control_event": a8,
     "b1_detect_framework": b1,
     "b2_detect_trust_layer": b2,
@@ -397,11 +485,15 @@ QUERIES: dict[str, Query] = {
     "b10_agent_lookup": b10,
     "b11_strip_comments_docstrings": b11,
     "b12_ai_context_flag": b12,
+    "b13_agent_stats_lookup": b13,
     **{key: _check(name) for name, key in CHECK_IDS.items()},
     "j1_fix_join": j1,
     "j2_remediation_join": j2,
     "j3_trust_info_join": j3,
     "j4_explain_join": j4,
+    "j1_fix_findings": j1_findings,
+    "j3_trust_findings": j3_findings,
+    "j4_explain_findings": j4_findings,
     "j5_agents_with_stats": j5,
     "j6_model_or_rules": j6,
     "g1_scan_summary": g1,
@@ -417,7 +509,9 @@ QUERIES: dict[str, Query] = {
     "w2_chain_breaks": w2,
     "w3_build_chain": w3,
     "w4_agent_status": w4,
+    "w5_verify_after_append": w5,
     "l1_event_page": l1,
+    "l1_event_page_repeated": l1_repeated,
     "l1_event_page_deep": l1_deep,
     "l2_article_sort": l2,
     "l3_top_findings": l3,

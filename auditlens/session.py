@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+READ_TASKS = "auditlens.read.tasks"
+_LOCAL: dict[str, str] = {}
+
 
 def build_session(app: str = "auditlens", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster, pass your own session instead."""
@@ -15,6 +22,7 @@ def build_session(app: str = "auditlens", cores: str = "*", shuffle_partitions:
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(READ_TASKS, str(2 * (int(cores) if cores.isdigit() else os.cpu_count() or 1)))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
@@ -28,27 +36,37 @@ def build_session(app: str = "auditlens", cores: str = "*", shuffle_partitions:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a batch input that has fewer partitions than the session has cores.
+def dealt(df: DataFrame) -> DataFrame:
+    """Deal rows over as many tasks as the session asks for in READ_TASKS; without it, nothing is moved.
 
-    Scanning text costs far more than moving it, so one small file must not become
-    one task.  A large input has many splits and is left alone, without a shuffle.
-    For tables just read: on a query result, counting partitions would run its joins.
+    For sessions on small tables of one file each, where a file would be one task.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
+    tasks = df.sparkSession.conf.get(READ_TASKS, None)
+    return df if tasks is None or df.isStreaming else df.repartition(int(tasks))
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables that the cluster names in `spark.checkpoint.dir`.
 
-    Only a session without that setting (tests, a laptop) gets a folder of its own.
+    A local session without that setting gets a folder of its own, which goes when Python
+    ends.  On a cluster it is an error: executors do not see each other's disks.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    return named or context.getCheckpointDir() or tempfile.mkdtemp(prefix="auditlens-")
+    if named or context.getCheckpointDir():
+        return named or context.getCheckpointDir()
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if "folder" not in _LOCAL:
+        _LOCAL["folder"] = tempfile.mkdtemp(prefix="auditlens-")
+        atexit.register(shutil.rmtree, _LOCAL["folder"], ignore_errors=True)
+    return _LOCAL["folder"]
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from auditlens.session import spread
+from auditlens.session import dealt
 
 EVENT_SCHEMA = T.StructType(
     [
@@ -25,8 +25,8 @@ EVENT_SCHEMA = T.StructType(
 
 
 def read_text_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table with source code or other long text, spread over all cores."""
-    return spread(spark.read.parquet(path))
+    """A table with source code or other long text, read in the splits that the session sets."""
+    return dealt(spark.read.parquet(path))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

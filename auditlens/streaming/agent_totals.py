@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from auditlens.operators.agents import agent_stats
 
+BATCH = "batch"
+
 
 def stream_agent_stats(events: DataFrame) -> DataFrame:
     """State is one row per agent; there is no window, so nothing expires."""
@@ -16,15 +19,26 @@ def stream_agent_stats(events: DataFrame) -> DataFrame:
 def start_agent_stats(
     events: DataFrame, path: str, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
-    """Keep the current totals of all agents as a Parquet table that each batch replaces."""
+    """Add, per batch, the new totals of the agents that the batch changed.
+
+    Each batch writes its own folder below `path`, again if it is run again, so a reader
+    sees whole batches only.  `read_agent_stats` gives the newest row of every agent.
+    """
 
-    def replace(totals: DataFrame, _batch: int) -> None:
-        totals.write.mode("overwrite").parquet(path)
+    def add(totals: DataFrame, batch: int) -> None:
+        totals.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch}")
 
     writer = (
         stream_agent_stats(events)
-        .writeStream.outputMode("complete")
-        .foreachBatch(replace)
+        .writeStream.outputMode("update")
+        .foreachBatch(add)
         .option("checkpointLocation", checkpoint)
     )
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def read_agent_stats(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in ("agent_id", BATCH)]
+    newest = rows.groupBy("agent_id").agg(F.max_by(F.struct(*values), BATCH).alias("row"))
+    return newest.select("agent_id", "row.*")

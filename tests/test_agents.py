@@ -103,10 +103,16 @@ def test_previous_row(spark):
     assert got == {("a", 1): (False, None), ("a", 2): (True, None), ("a", 5): (True, "x"), ("b", 3): (False, None)}
 
 
-def test_deep_page_equals_shallow_page(spark, log, monkeypatch):
-    shallow = agents.event_page(log, agent="hot", limit=25, offset=370).collect()
-    monkeypatch.setattr(agents, "PAGE_IN_MEMORY", 10)
-    assert agents.event_page(log, agent="hot", limit=25, offset=370).collect() == shallow
+def test_pages_follow_each_other(spark, log):
+    """Also where many events share a time and an id."""
+    same = log.withColumns({"id": F.floor(F.col("id") / 7), "ts": F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz")})
+    for events in (log, same):
+        ordered = events.where("agent_id = 'hot'").orderBy(
+            F.col("ts").desc(), F.col("id").desc(), *[F.col(c) for c in events.columns if c not in ("ts", "id")]
+        )
+        everything = agents.project_events(ordered).collect()
+        pages = [agents.event_page(events, agent="hot", limit=45, offset=o).collect() for o in range(0, 400, 45)]
+        assert [r for p in pages for r in p] == everything
     assert len(agents.event_page(log, agent="hot", limit=25, offset=390).collect()) == 10
     assert agents.event_page(log, agent="hot", limit=25, offset=400).collect() == []
 

@@ -84,9 +84,47 @@ def test_first_files_are_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in text and text.index("Final") < text.index("Partial")
 
 
-def test_first_page_needs_no_full_sort(spark):
-    text = plan(agents.event_page(corpus.agent_events(spark, FOLDER)))
-    assert "TakeOrderedAndProject" in text
+def test_page_is_read_between_its_keys(spark, tmp_path):
+    corpus.agent_events(spark, FOLDER).write.parquet(str(tmp_path / "log"))
+    log = read_events(spark, str(tmp_path / "log"))
+    text = plan(agents.event_page(log, limit=10, offset=500))
+    assert "TakeOrderedAndProject" in text and "GreaterThanOrEqual(ts" in text
+
+
+def test_neighbours_need_no_join_of_rows(spark):
+    from auditlens.operators.ordering import with_previous
+
+    events = corpus.agent_events(spark, FOLDER).select("agent_id", "ts", "id")
+    text = plan(with_previous(events, "agent_id", ["ts", "id"], {"before": "id"}))
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+
+
+def test_code_is_read_only_where_no_framework_is_given(spark):
+    text = plan(QUERIES["j2_remediation_join"](spark, FOLDER))
+    assert "CASE WHEN isnull(nullif(framework" in text.replace("#", " #").replace(" #", "#").replace("`", "") or "__code" in text
+
+
+def test_definitions_are_counted_twice_at_most(spark):
+    """Once for all and once for the documented ones; not again to decide whether the check applies."""
+    for name in ("r5_art11_docstrings", "r6_art11_type_hints"):
+        assert plan(QUERIES[name](spark, FOLDER)).count("regexp_count") <= 2
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from auditlens.session import shared_folder
+
+    def session(master):
+        context = SimpleNamespace(
+            master=master, getConf=lambda: SimpleNamespace(get=lambda k: None), getCheckpointDir=lambda: None
+        )
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d))
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(session(master))
+    assert shared_folder(session("local[4]")) == shared_folder(session("local"))
 
 
 def test_hot_code_hash_is_split(spark):

@@ -126,4 +126,4 @@ def test_streams_equal_batches(spark, tmp_path):
     totals = str(tmp_path / "totals")
     agent_totals.start_agent_stats(stream, totals, str(tmp_path / "state2"), once=True).awaitTermination()
     cols = ["agent_id", "total_events", "total_tokens", "last_event"]
-    assert sorted(spark.read.parquet(totals).select(*cols).collect()) == sorted(agent_stats(events).select(*cols).collect())
+    assert sorted(agent_totals.read_agent_stats(spark, totals).select(*cols).collect()) == sorted(agent_stats(events).select(*cols).collect())
