@@ -133,6 +133,10 @@ ORACLE: dict[str, str] = {
     "SELECT project, dir || name AS path FROM named WHERE ends_with(name, '.py') AND NOT list_bool_or(list_transform("
     f"string_split(dir, '/'), lambda p: p IN ({', '.join(o.lit(n) for n in _SKIPPED)}) OR ends_with(p, '.egg-info')))",
     "a2_scan_file_read": f"WITH {o.CORPUS} SELECT project, path, {_LINES} AS lines FROM corpus",
+    "a1_project_tree": "SELECT source AS project, 'pkg/f' || doc_id || '.py' AS path, CAST(NULL AS VARCHAR) AS error "
+    "FROM documents WHERE doc_id % 10 <> 3",
+    "a2_project_tree_lines": f"WITH {o.CORPUS} SELECT project, 'pkg/f' || doc_id || '.py' AS path, {_LINES} AS lines "
+    "FROM corpus WHERE doc_id % 10 <> 3",
     "a3_read_tolerant_utf8": "SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) "
     "|| '(A' || chr(10) || 'B' AS code FROM documents",
     "a4_scan_code_table": o.SCAN + f"SELECT project, path, {o.RESULT} FROM res",

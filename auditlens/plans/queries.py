@@ -85,6 +85,32 @@ def a2(spark: SparkSession, d: str) -> DataFrame:
     return _code(spark, d).select(*UNIT, count_lines(F.col("code")).cast("long").alias("lines"))
 
 
+def _project_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus written as source trees, a tenth of it into a folder that is not entered, and read back."""
+    kept = F.when(F.col("doc_id") % 10 == 3, "node_modules/f").otherwise("pkg/f")
+    files = corpus.code_corpus(spark, d).select(
+        F.concat("project", F.lit("/"), kept, F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), "code"
+    )
+    projects_named = corpus.table(spark, d, "documents").select(F.col("source").alias("project")).distinct()
+
+    def read(folder: str) -> DataFrame:
+        return python_files.read_projects(
+            projects_named.select("project", F.concat(F.lit(f"{folder}/"), "project").alias("path"))
+        )
+
+    return _round_trip(spark, lambda folder: sinks.write_files(files, folder), read)
+
+
+def a1_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The files found; a project of which no file is kept has an error row with its folder, left out here."""
+    return _project_tree(spark, d).where("path is not null").select("project", "path", "error")
+
+
+def a2_tree(spark: SparkSession, d: str) -> DataFrame:
+    found = _project_tree(spark, d).where("path is not null")
+    return found.select("project", "path", F.col("lines").cast("long").alias("lines"))
+
+
 def a3(spark: SparkSession, d: str) -> DataFrame:
     broken = F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8"), F.unhex(F.lit("C328E282410D0A42")))
     files = corpus.table(spark, d, "documents").select("doc_id", broken.alias("content"))
@@ -467,6 +493,8 @@ QUERIES: dict[str, Query] = {
     "verdicts_by_role": verdicts_by_role,
     "a1_scan_project_files": a1,
     "a2_scan_file_read": a2,
+    "a1_project_tree": a1_tree,
+    "a2_project_tree_lines": a2_tree,
     "a3_read_tolerant_utf8": a3,
     "a4_scan_code_table": a4,
     "a5_event_source": a5,

@@ -3,8 +3,8 @@
 Spark's own file listing hides names that begin with `_` or `.`, such as
 `__init__.py`, and cannot drop malformed bytes, so both steps are small functions
 over a table of directories.  The driver sees neither names nor text: the tree is
-walked one level per round, each round spread over all tasks.  The directories
-must be visible to every executor under the same path.
+walked one level per round, each round spread over all tasks.  A directory is a path
+that every executor sees, or the address of a store (`hdfs://`, `s3://`, `file://`).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import os
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,25 +56,55 @@ def keeps_path(path: Column) -> Column:
     return path.endswith(".py") & ~path.rlike(rf"(?:\A|/)(?:{names}|[^/]*\.egg-info)/")
 
 
+def _entries(directory: str) -> Iterator[tuple[str, str, bool]]:
+    """(name, path, is a directory to enter) of what a directory holds."""
+    if "://" in directory:
+        store, inner = fs.FileSystem.from_uri(directory)
+        for info in store.get_file_info(fs.FileSelector(inner)):
+            yield info.base_name, f"{directory.rstrip('/')}/{info.base_name}", info.type == fs.FileType.Directory
+        return
+    with os.scandir(directory) as entries:
+        for e in entries:
+            if not (e.is_symlink() and e.is_dir()):
+                yield e.name, e.path, e.is_dir()
+
+
+def _text_of(path: str) -> str:
+    if "://" in path:
+        store, inner = fs.FileSystem.from_uri(path)
+        with store.open_input_file(inner) as f:
+            text = f.read().decode("utf-8", "ignore")
+        return text.replace("\r\n", "\n").replace("\r", "\n")
+    with open(path, encoding="utf-8", errors="ignore") as f:
+        return f.read()
+
+
+def _exists(path: str) -> bool:
+    if "://" in path:
+        store, inner = fs.FileSystem.from_uri(path)
+        return store.get_file_info(inner).type == fs.FileType.Directory
+    return os.path.isdir(path)
+
+
+def _shown(path: str, root: str | None) -> str:
+    """A path as seen from its project's directory."""
+    return path if not root else path[len(root.rstrip("/")) + 1 :] if "://" in root else os.path.relpath(path, root)
+
+
 def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["project", "root", "path", "is_dir"]
     rows: list[tuple] = []
     for batch in batches:
         for project, root, directory in zip(batch["project"], batch["root"], batch["path"], strict=True):
             try:
-                entries = os.scandir(directory)
-            except OSError:
-                continue
-            with entries:
-                for e in entries:
-                    if e.is_dir():
-                        if not e.is_symlink() and not is_skipped(e.name):
-                            rows.append((project, root, e.path, True))
-                    elif e.name.endswith(".py"):
-                        rows.append((project, root, e.path, False))
+                for name, path, is_dir in _entries(directory):
+                    if not is_skipped(name) if is_dir else name.endswith(".py"):
+                        rows.append((project, root, path, is_dir))
                     if len(rows) >= NAMES_PER_BATCH:
                         yield pd.DataFrame(rows, columns=columns)
                         rows = []
+            except OSError:
+                continue
     yield pd.DataFrame(rows, columns=columns)
 
 
@@ -83,10 +114,9 @@ def _read_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     size = 0
     for batch in batches:
         for project, root, path in zip(batch["project"], batch["root"], batch["path"], strict=True):
-            shown = os.path.relpath(path, root) if root else path
+            shown = _shown(path, root)
             try:
-                with open(path, encoding="utf-8", errors="ignore") as f:
-                    code, error = f.read(), None
+                code, error = _text_of(path), None
             except FileNotFoundError:
                 code, error = None, f"File not found: {path}"
             except OSError as problem:
@@ -101,7 +131,7 @@ def _read_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _is_directory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch.assign(exists=[os.path.isdir(p) for p in batch["path"]])
+        yield batch.assign(exists=[_exists(p) for p in batch["path"]])
 
 
 _LISTED = "project string, root string, path string, is_dir boolean"

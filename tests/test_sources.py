@@ -104,6 +104,23 @@ def test_json_and_reports(spark, tmp_path):
     assert "Install the trust layer for openai:" in written.read_text()
 
 
+def test_trees_in_a_store(spark, tmp_path):
+    """Addresses go through the store's own reader: same files, same text as by path."""
+    from auditlens.sources.python_files import read_files, read_projects
+    from auditlens.sources.sinks import write_files
+
+    files = [("a.py", "x = 1\r\ny = 2"), ("sub/b.py", None), ("venv/c.py", "no"), ("sub/d.txt", "no")]
+    root = f"file://{tmp_path}/tree"
+    write_files(spark.createDataFrame(files, "path string, code string"), root)
+    found = []
+    for address in (root, f"{tmp_path}/tree"):
+        rows = read_projects(spark.createDataFrame([("p", address), ("q", f"{address}-not")], "project string, path string"))
+        found.append(sorted((r["project"], r["path"] or "", r["code"], r["lines"]) for r in rows.collect()))
+    assert found[0] == found[1] == [("p", "a.py", "x = 1\ny = 2", 2), ("p", "sub/b.py", "", 0), ("q", "", None, None)]
+    row = read_files(spark, [f"{root}/none.py"]).first()
+    assert row["error"] == f"File not found: {root}/none.py"
+
+
 def test_streams_equal_batches(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     talks = spark.read.parquet(f"{folder}/conversations.parquet")
