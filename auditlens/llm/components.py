@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlens.llm.tables import stored
+from auditlens.llm.tables import replaced, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = None
     while (now := _state(edges)) != before:
         before = now
-        edges = stored(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        edges = replaced(edges, _small_star(_large_star(edges).distinct()).distinct(), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
         edges.select("b", "b").distinct()
     )

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlens.session import shared_folder
+from auditlens.session import remove_folder, shared_folder
 
 #: Words are runs of anything but space and the ASCII controls tab to carriage return.
 BREAKS = r"[\x20\x09-\x0D]+"
@@ -25,7 +25,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/auditlens-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def replaced(old: DataFrame, new: DataFrame, label: str) -> DataFrame:
+    """Write the next state of an iteration, and delete the state before, which nothing needs any more."""
+    table = stored(new, label)
+    remove_folder(old.sparkSession, old.stored_at)
+    return table
 
 
 def words(text: Column) -> Column:
