@@ -1,6 +1,6 @@
 """Time the headline queries and print one JSON line.
 
-Environment: BENCH_SF_DIR (data folder), BENCH_CPUS (cores).  Every query runs
+Environment: BENCH_SF_DIR (data folder), BENCH_CPUS (cores), BENCH_QUERIES (names, all if unset).  Every query runs
 its whole plan over the whole tables; results go to Spark's `noop` sink.  A first
 pass on the same data warms the JVM; the reported time is the better of two more.
 """
@@ -14,6 +14,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from auditlens.plans.queries import QUERIES  # noqa: E402
 from auditlens.session import build_session  # noqa: E402
 
@@ -52,11 +54,16 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     seconds: dict[str, float] = {}
     rates: dict[str, int] = {}
-    for name, source in HEADLINE.items():
+    text_rates: dict[str, float] = {}
+    wanted = os.environ.get("BENCH_QUERIES", "").split()
+    for name, source in ((n, s) for n, s in HEADLINE.items() if not wanted or n in wanted):
         timed(spark, name, folder)
         seconds[name] = round(min(timed(spark, name, folder) for _ in range(2)), 3)
-        rows = spark.read.parquet(f"{folder}/{source}.parquet").count()
-        rates[name] = int(rows / seconds[name])
+        table = spark.read.parquet(f"{folder}/{source}.parquet")
+        rates[name] = int(table.count() / seconds[name])
+        if "text" in table.columns:
+            size = table.agg(F.sum(F.octet_length("text"))).first()[0] / 1e6
+            text_rates[name] = round(size / seconds[name] / int(cores), 2)
     print(
         json.dumps(
             {
@@ -65,6 +72,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": seconds,
                 "rows_per_sec": rates,
+                "text_mb_per_sec_core": text_rates,
                 "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
                 "cores": cores,
             }
