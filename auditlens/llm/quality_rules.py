@@ -161,12 +161,12 @@ def kept_documents(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     model = ratio_model(docs, trusted)
     columns = docs.columns
     w = F.col("__words")
-    judged = docs.withColumn("__words", words(F.col("text"))).withColumns(
-        {"__n": F.size(w), "__repeat": repeat_words(w), "__score": mean_ratio(w, model)}
-    )
-    passes = (
-        (F.col("__n") >= MIN_WORDS)
-        & (100 * F.col("__repeat") <= MAX_REPEAT_PERCENT * F.col("__n"))
-        & (F.col("__score") >= MIN_SCORE)
+    verdict = F.struct(F.size(w).alias("n"), repeat_words(w).alias("repeat"), mean_ratio(w, model).alias("score"))
+    # As an outer explode of one item: a filter on a plain column would be moved below the
+    # projection, where the words are split again for every use.
+    judged = docs.withColumn("__words", words(F.col("text"))).select(
+        *columns, F.explode_outer(F.array(verdict)).alias("__verdict")
     )
+    n, repeat, score = (F.col("__verdict")[c] for c in ("n", "repeat", "score"))
+    passes = (n >= MIN_WORDS) & (100 * repeat <= MAX_REPEAT_PERCENT * n) & (score >= MIN_SCORE)
     return judged.where(passes).select(*columns)
