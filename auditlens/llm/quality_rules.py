@@ -126,8 +126,7 @@ def quality_verdicts(
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     w = F.col("w")
-    counted = rows.withColumn("w", words(text)).select(
-        "id",
+    facts = F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.coalesce(F.regexp_count(text, F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("long").alias("n_symbols"),
@@ -135,6 +134,10 @@ def quality_verdicts(
         repeat_words(w).alias("n_repeat_words"),
         mean_ratio(w, model).alias("score"),
     )
+    # As an outer explode of one item: a filter that a user puts on plain columns would be moved
+    # below the projection, where the words are split again for every use.
+    counted = rows.withColumn("w", words(text)).select("id", F.explode_outer(F.array(facts)).alias("f"))
+    counted = counted.select("id", "f.*")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed).select(
         F.col("id").alias(id_col),
@@ -162,8 +165,7 @@ def kept_documents(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     columns = docs.columns
     w = F.col("__words")
     verdict = F.struct(F.size(w).alias("n"), repeat_words(w).alias("repeat"), mean_ratio(w, model).alias("score"))
-    # As an outer explode of one item: a filter on a plain column would be moved below the
-    # projection, where the words are split again for every use.
+    # An outer explode for the reason given above.
     judged = docs.withColumn("__words", words(F.col("text"))).select(
         *columns, F.explode_outer(F.array(verdict)).alias("__verdict")
     )
