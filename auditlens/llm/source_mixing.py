@@ -22,11 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlens.llm.tables import stored, words
+from auditlens.llm.tables import replaced, stored, words
 from auditlens.operators.ordering import with_position
 
 MOST = 3
 PHASES = 64
+#: Parts that the rows of a source are dealt into for the last join, as one source may hold a third of all.
+SALTS = 64
 WEIGHTS = (1, 2, 3)
 STEPS = 80
 TOLERANCE = 1e-10
@@ -123,7 +125,8 @@ def balance(cells: DataFrame, sources: DataFrame) -> DataFrame:
         far = F.greatest(F.abs(theta), F.lit(1.0))
         other = F.coalesce((low + high) / 2, F.when(off < 0, theta + far).otherwise(theta - far))
         near = F.abs(newton - theta) <= 4 * far
-        state = stored(
+        state = replaced(
+            state,
             moved.select(
                 "rank",
                 "target",
@@ -189,8 +192,10 @@ def mixing_copies(
     chosen = sources.join(taken, "rank").select(
         "rank", "source_size", "target", (F.array_min(misses)["phase"] / PHASES).alias("phase")
     )
+    salted = joined.withColumn("salt", F.pmod(F.col("position"), F.lit(SALTS)).cast("int"))
+    dealt = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
-        joined.join(chosen, "rank")
+        salted.join(dealt, ["rank", "salt"])
         .withColumn("copies", copies(F.col("phase")))
         .select(
             F.col("id").alias(id_col),
