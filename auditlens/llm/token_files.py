@@ -12,6 +12,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,13 @@ from auditlens.session import shared_folder
 #: Tokens after which a block is closed; a longer document makes a longer block.
 BLOCK_TOKENS = 1 << 18
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 
-_UNEVEN_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
-_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*,.:;?|]+)")
+_WORD_AND_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*,.:;?|]+)")
+_ONE_WORD = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[!#$%&*,.:;?|]+)")
+#: Byte-level vocabularies spell a byte as its Latin-1 letter, or from U+0100 on where that is no visible letter.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = dict(zip((b for b in range(256) if b not in _VISIBLE), range(256, 512)))
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
 
@@ -41,6 +45,9 @@ class PieceEncoder:
     characters that are not white space, nor between a letter and a mark.  So the ids of
     a text are those of its pieces one after another.  Texts with other white space, or
     with a special token in them, are encoded as a whole.
+
+    A piece follows a space, or, where it begins with a line break, that break; the start
+    of a text is treated as a break whose ids are cut off again.
     """
 
     def __init__(self, path: str):
@@ -49,8 +56,11 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
         self.wide = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.wide == "<u2" else "I"
+        self.by_bytes = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
+        self.known: dict[str, bytes] = {}
+        (self.newline,) = self._encode(["\n"])
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -62,43 +72,52 @@ class PieceEncoder:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.wide).tobytes() for x in made]
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        new = [p for p in pieces if p not in self.known]
-        split = {p: m.groups() for p in new if (m := _WORD_AND_MARKS.fullmatch(p.removeprefix(" ")))}
-        cores = {(" " if p[0] == " " else "") + word for p, (word, _) in split.items()} | {m for _, m in split.values()}
-        plain = [*{p for p in new if p not in split} | {c for c in cores if c not in self.known}]
-        made = dict(zip(plain, self._encode(plain)))
-        room = REMEMBERED - len(self.known)
-        if room > 0:
-            self.known.update(made if len(made) <= room else dict(list(made.items())[:room]))
-        both = lambda p: made.get(p) or self.known[p]
-        for p, (word, marks) in split.items():
-            made[p] = both((" " if p[0] == " " else "") + word) + both(marks)
-        return made
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of pieces; what the tokenizer takes as one word goes to its merges at once."""
+        if not self.by_bytes:
+            return self._encode(words)
+        merge, rest, found = self.tokenizer.model.tokenize, [], []
+        for w in words:
+            if _ONE_WORD.fullmatch(w):
+                ids = [t.id for t in merge(w.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+                found.append(array(self.code, ids).tobytes())
+            else:
+                rest.append(w)
+                found.append(None)
+        others = iter(self._encode(rest))
+        return [next(others) if x is None else x for x in found]
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds the ids of pieces to what is known."""
+        spelled = {p: p[1:] if p[:1] == "\n" else " " + p for p in new}
+        split = {p: m.groups() for p, x in spelled.items() if (m := _WORD_AND_MARKS.fullmatch(x))}
+        lines = {x for p, x in spelled.items() if p not in split}.union(*split.values()) if split else {*spelled.values()}
+        wanted = [x for x in lines if x]
+        made = dict(zip(wanted, self._encode_words(wanted))) | {"": b""}
+        for p, x in spelled.items():
+            ids = made[x] if p not in split else made[split[p][0]] + made[split[p][1]]
+            self.known[p] = self.newline + ids if p[:1] == "\n" else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed unsigned numbers."""
-        cut: list[list[list[str]] | None] = []
-        pieces: set[str] = {"\n"}
+        cut: list[list[str] | None] = []
         for text in texts:
-            if not text or _UNEVEN_SPACE.search(text) or any(s in text for s in self.special):
+            # White space other than single spaces and line breaks between words.
+            uneven = text.replace("\n", " ") != " ".join(text.split())
+            if not text or uneven or any(s in text for s in self.special):
                 cut.append(None)
-                continue
-            lines = [line.replace(" ", "\0 ").split("\0") for line in text.split("\n")] if "\0" not in text else None
-            cut.append(lines)
-            for line in lines or ():
-                pieces.update(line)
-        made = self._learn(pieces)
-        known = self.known
-        whole = self._encode([t for t, c in zip(texts, cut) if c is None and t])
-        rest = iter(whole)
-        found = []
-        newline = made.get("\n") or known["\n"]
-        for text, lines in zip(texts, cut):
-            if lines is None:
-                found.append(next(rest) if text else b"")
             else:
-                found.append(newline.join([b"".join([made.get(p) or known[p] for p in line]) for line in lines]))
+                cut.append(f"\n{text}".replace("\n", " \n").split(" ")[1:])
+        new = list(set().union(*[c for c in cut if c]).difference(self.known))
+        self._learn(new)
+        whole = iter(self._encode([t for t, c in zip(texts, cut) if c is None and t]))
+        known, skip = self.known.__getitem__, len(self.newline)
+        found = [
+            (next(whole) if text else b"") if parts is None else b"".join(map(known, parts))[skip:]
+            for text, parts in zip(texts, cut)
+        ]
+        for p in new[max(0, len(new) + REMEMBERED - len(self.known)) :]:
+            del self.known[p]
         return found
 
 
