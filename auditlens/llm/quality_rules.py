@@ -4,10 +4,12 @@ Every word and every pair of neighbouring words is hashed into one of `BUCKETS`
 features.  Two multinomials are estimated: one from trusted documents, one from all
 documents.  A text's score is the mean, over its features, of the log ratio of the two
 probabilities, so it does not grow with length; texts below `MIN_SCORE` nats a feature
-look less like the trusted ones than like the raw corpus and are rejected.
+look less like the trusted ones than like the raw corpus and are rejected.  Trusted
+documents that a model has not counted set an offset, so that a small trusted set does
+not reject what it could not have seen.
 
 Everything is computed inside the row with built-in functions; text is never shuffled.
-The driver holds one number a bucket, a model of fixed size.
+The driver holds one number a bucket and fold, a model of fixed size.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ BUCKETS = 1 << 16
 #: Trusted documents that the target multinomial is fitted on, at most; chosen by the hash of their id.
 TRUSTED_ROWS = 20_000
 MIN_SCORE = -0.1
+#: Folds of the trusted documents, and the share of them, each scored without its fold, that may lie below MIN_SCORE.
+FOLDS = 5
+HELD_OUT_SHARE = 0.01
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -78,41 +83,82 @@ def features(w: Column) -> Column:
     return F.concat(F.transform(w, lambda x: _bucket(x)), _pairs(w, lambda a, b: _bucket(a, b)))
 
 
-def ratio_model(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
-    """The log ratio of every bucket, trusted over raw, with one added to each count.
+def log_ratios(raw: list[int], target: list[int]) -> list[float]:
+    """The log ratio of every bucket, target over raw.
 
-    All of docs is counted.  Of the ids in `trusted` at most TRUSTED_ROWS are used.
-    Without any trusted document in docs every ratio is zero.
+    The target is smoothed towards raw with the weight of one count a bucket in use, so a
+    feature that few trusted documents could show counts as neutral.  Without any target
+    count every ratio is zero.
+    """
+    size, weight = sum(raw), sum(map(bool, raw))
+    shift = math.log(sum(target) + weight) if size else 0.0
+    return [
+        math.log(t + weight * r / size) - math.log(r / size) - shift if r else 0.0
+        for t, r in zip(target, raw, strict=True)
+    ]
+
+
+def ratio_model(
+    docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[list[float], float]:
+    """The log ratio of every bucket, trusted over raw, and an offset to be added to scores.
+
+    All of docs is counted.  Of the ids in `trusted` at most TRUSTED_ROWS are used.  How
+    low good documents score that the model has not counted depends on how many it has.
+    So trusted documents are scored by models fitted without their fold, and where
+    HELD_OUT_SHARE of them lies below MIN_SCORE the offset lifts that quantile to it.
     """
     ids = trusted.select(F.col(id_col).alias("id")).where("id is not null").distinct()
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(TRUSTED_ROWS).withColumn("trusted", F.lit(1))
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # The hinted side has TRUSTED_ROWS rows of one id at most.
-    marked = narrow.join(F.broadcast(ids), "id", "left")
+    # The hinted side has TRUSTED_ROWS rows of one id at most.  Equal texts are in one fold.
+    marked = narrow.join(F.broadcast(ids), "id", "left").select(
+        "text", F.when(F.col("trusted") == 1, F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")).alias("fold")
+    )
     found = (
-        marked.select(words(F.col("text")).alias("w"), "trusted")
-        .select(F.explode(features(F.col("w"))).alias("bucket"), "trusted")
-        .groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
+        marked.select(words(F.col("text")).alias("w"), "fold")
+        .select(F.explode(features(F.col("w"))).alias("bucket"), "fold")
+        .groupBy("bucket", "fold")
+        .count()
     )
-    raw, target = [0] * BUCKETS, [0] * BUCKETS
-    for row in found.collect():  # one row a bucket, however large the corpus
-        raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
+    raw, folds = [0] * BUCKETS, [[0] * BUCKETS for _ in range(FOLDS)]
+    for row in found.collect():  # one row a bucket and fold, however large the corpus
+        raw[row["bucket"]] += row["count"]
+        if row["fold"] is not None:
+            folds[row["fold"]][row["bucket"]] += row["count"]
+    target = [sum(x) for x in zip(*folds, strict=True)]
     if not any(target):
-        return [0.0] * BUCKETS
-    shift = math.log(sum(raw) + BUCKETS) - math.log(sum(target) + BUCKETS)
-    return [math.log(t + 1) - math.log(r + 1) + shift for t, r in zip(target, raw, strict=True)]
+        return [0.0] * BUCKETS, 0.0
+    without = [log_ratios(raw, [t - x for t, x in zip(target, fold, strict=True)]) for fold in folds]
+    w = F.col("w")
+    held = marked.where("fold is not null").select(words(F.col("text")).alias("w"), "fold")
+    tables = F.array(*[_table(x) for x in without])
+    score = bind(F.get(tables, F.col("fold")), lambda table: _mean(w, table))
+    facts = F.struct(F.size(w).alias("n"), repeat_words(w).alias("repeat"), score.alias("score"))
+    # As an outer explode, so that the filter does not split the words again for every use.
+    held = held.select(F.explode_outer(F.array(facts)).alias("f")).select("f.*")
+    held = held.where((F.col("n") >= MIN_WORDS) & (100 * F.col("repeat") <= MAX_REPEAT_PERCENT * F.col("n")))
+    low = held.agg(F.percentile("score", HELD_OUT_SHARE)).first()[0]
+    return log_ratios(raw, target), max(0.0, MIN_SCORE - low) if low is not None else 0.0
+
 
+def _table(model: list[float]) -> Column:
+    return F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
 
-def mean_ratio(w: Column, model: list[float]) -> Column:
-    """The mean log ratio of a text's features; null for a text without words."""
-    table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
+
+def _mean(w: Column, table: Column) -> Column:
     pairs = _pairs(w, lambda a, b: F.get(table, _bucket(a, b)))
     single = F.aggregate(w, F.lit(0.0), lambda total, x: total + F.get(table, _bucket(x)))
     total = F.aggregate(pairs, single, lambda total, x: total + x)
     return F.when(F.size(w) > 0, total / (2 * F.size(w) - 1))
 
 
+def mean_ratio(w: Column, model: tuple[list[float], float]) -> Column:
+    """The mean log ratio of a text's features, with the model's offset; null for a text without words."""
+    ratios, offset = model
+    return _mean(w, _table(ratios)) + F.lit(offset)
+
+
 def quality_verdicts(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE
 ) -> DataFrame:
