@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlens.llm import (
+    centroid_clusters,
     contextual_pii,
     decontaminate,
     license_scan,
+    merkle_manifest,
     quality_rules,
     secret_scan,
     simhash_dedup,
@@ -68,6 +70,15 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.secret_digest(secret_scan.find_secrets(documents(spark, folder)))
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return merkle_manifest.manifest(docs, merkle_manifest.without_breaks(docs))
+
+
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return centroid_clusters.cluster_vectors(documents(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1,
     "op2_decontaminate": op2,
@@ -79,6 +90,8 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": op8,
     "op9_contextual_pii": op9,
     "op10_secret_scan": op10,
+    "op11_merkle_manifest": op11,
+    "op13_centroid_clusters": op13,
 }
 #: What SQL can express; the others are tested against brute force.
 ORACLE: dict[str, str] = {"op3_license_scan": license_scan.oracle_sql()}
