@@ -12,6 +12,7 @@ from auditlens.llm import (
     contextual_pii,
     decontaminate,
     license_scan,
+    lm_scoring,
     merkle_manifest,
     quality_rules,
     secret_scan,
@@ -75,6 +76,10 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return merkle_manifest.manifest(docs, merkle_manifest.without_breaks(docs))
 
 
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.score_texts(documents(spark, folder), lm_scoring.not_every_tenth())
+
+
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return centroid_clusters.cluster_vectors(documents(spark, folder, "embeddings"))
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op9_contextual_pii": op9,
     "op10_secret_scan": op10,
     "op11_merkle_manifest": op11,
+    "op12_lm_scoring": op12,
     "op13_centroid_clusters": op13,
 }
 #: What SQL can express; the others are tested against brute force.
