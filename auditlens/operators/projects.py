@@ -3,9 +3,12 @@
 Source text is read once and never shuffled.  Each file becomes a narrow row of
 signals; a project's signals are their OR, sum, minimum or maximum, which Spark
 aggregates within each task first.  What can only match where two files meet is
-found by merging short edges of neighbouring files, in groups of bounded size, in
-rounds that shrink the rows until one per project is left.  A project of any size
-therefore needs no task that holds all of it.
+found from a summary of bounded size per file: for each state in which it may begin (in
+code, or inside a block of either quote kind), the state it ends in, the signals of its code
+and the edges of that code.  Two summaries in a row give one of the same kind, so groups
+of neighbours are merged, in rounds that shrink the rows until one per project is left.  A
+project of any size therefore needs no task that holds all of it, and no row grows with
+the text.
 """
 
 from __future__ import annotations
@@ -14,24 +17,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlens.functions import text as T
-from auditlens.functions.edges import OPENERS, STATES, edge, lex_blocks, lexed_end
-from auditlens.functions.matching import Text, has_odd_case, lowered
+from auditlens.functions.edges import CODE, DOUBLE, OPENERS, SINGLE, STATES, edge, lexed_cases
 from auditlens.functions.rules import BARE_SIGNALS, CODE_SIGNALS, FRAMEWORKS, HALF_SIGNALS, TRUST_LAYER
 from auditlens.operators.findings import findings_from_signals, with_summary
 from auditlens.operators.ordering import with_position
 from auditlens.operators.signals import COUNTS, FLAGS, bare_text, code_text, count_columns, match_all, prepare
 from auditlens.session import cut_lineage
 
-GROUP = 256  # files, or merged groups of files, that one merge step takes together
+GROUP = 8  # files, or merged groups of files, that one merge step takes together
 FILES_SHOWN = 20
-BROADCAST_BYTES = 32 << 20
 # Rules whose white space may run from one file into the next.
 CROSSING = ("ai_import", "ai_construct", "ai_context", "trace_import", "tokens_unbounded")
 GAP = "\n\n"
 
 
 def file_signals(files: DataFrame, edges: bool = False) -> DataFrame:
-    """One narrow row per file: project, path, signals and, if asked for, the edges."""
+    """One narrow row per file: project, path, signals and, if asked for, the summary for merging.
+
+    `readings` has a file with triple quotes as it reads in every case; see `lexed_cases`.
+    """
     prepared = prepare(files, "code")
     columns: dict[str, Column] = {
         **match_all(FRAMEWORKS, code_text(), "fw_"),
@@ -42,15 +46,24 @@ def file_signals(files: DataFrame, edges: bool = False) -> DataFrame:
         **count_columns(F.col("__code")),
     }
     if edges:
-        bare = F.col("__bare")
-        columns["code_edge"] = edge(F.col("__code"))
-        columns["bare_edge"] = edge(bare)
-        columns["open_block"] = T.has_triple_quote(bare)
-        columns["has_double"] = F.col("__no_comments").contains(OPENERS["double"])
-        columns["has_single"] = F.col("__no_comments").contains(OPENERS["single"])
+        code, bare, plain = F.col("__code"), F.col("__bare"), F.col("__no_comments")
+        quoted = T.has_triple_quote(plain)
+        columns["code_edge"] = edge(code)
+        columns["bare_edge"] = F.when(~quoted & (code != bare), edge(bare))
+        columns["readings"] = F.when(
+            quoted, F.transform(lexed_cases(plain), lambda x: F.when(x.isNotNull(), _reading(x["state"], x["piece"])))
+        )
+        columns["has_double"] = plain.contains(OPENERS["double"])
+        columns["has_single"] = plain.contains(OPENERS["single"])
     return prepared.select("project", "path", *[c.alias(n) for n, c in columns.items()])
 
 
+def _reading(state: Column, text: Column) -> Column:
+    """The state a text ends in, its edge and what the checks find in it."""
+    found = [rule.search(text).alias(n) for n, rule in BARE_SIGNALS.items()]
+    return F.struct(state.alias("state"), edge(text).alias("text"), *found)
+
+
 def _rolled_up(per_file: DataFrame) -> DataFrame:
     """Signals per project.  An error handler counts in one file, or as try before except."""
     tries = F.min(F.when(F.col("try_word"), F.col("path")))
@@ -72,158 +85,106 @@ def project_scan_rollup(files: DataFrame) -> DataFrame:
     return with_summary(findings_from_signals(_rolled_up(file_signals(files)), ["project"]))
 
 
-def _rounds(rows: DataFrame, group: int) -> int:
-    last = rows.agg(F.max("position")).first()[0] or 0
-    rounds = 1
-    while group**rounds < last:
-        rounds += 1
-    return rounds
-
-
-def _in_order(columns: list[str]) -> Column:
-    return F.array_sort(F.collect_list(F.struct("at", *columns)))
-
-
-def _merge_edges(placed: DataFrame, group: int) -> DataFrame:
-    """Per project, what the crossing rules find in its files' edges put end to end.
-
-    `found_*` are flags and `extra_documented` the definitions whose docstring
-    opens the next file.
-    """
-    flags = [f"found_{n}" for n in (*CROSSING, *BARE_SIGNALS)]
-    code, bare = F.col("code_edge"), F.col("bare_edge")
-    rows = placed.select(
-        "project",
-        (F.col("position") - 1).alias("at"),
-        code,
-        bare,
-        *[F.lit(False).alias(f) for f in flags],
-        F.lit(0).cast("long").alias("extra_documented"),
-    )
-    for _ in range(_rounds(placed, group)):
-        parts = rows.groupBy("project", F.floor(F.col("at") / group).alias("block")).agg(
-            # At most `group` short rows.
-            _in_order(["code_edge", "bare_edge"]).alias("parts"),
-            F.sum(F.col("extra_documented") - T.count_documented_definitions(code)).alias("extra_documented"),
-            *[F.bool_or(f).alias(f) for f in flags],
-        )
-        merged = parts.select(
-            "project",
-            "block",
-            "extra_documented",
-            *flags,
-            *[F.array_join(F.col(f"parts.{n}"), GAP).alias(n) for n in ("code_edge", "bare_edge")],
-        )
-        found = [F.col(f"found_{n}") | CODE_SIGNALS[n].search(code) for n in CROSSING]
-        found += [F.col(f"found_{n}") | BARE_SIGNALS[n].search(bare) for n in BARE_SIGNALS]
-        rows = merged.select(
-            "project",
-            F.col("block").alias("at"),
-            edge(code).alias("code_edge"),
-            edge(bare).alias("bare_edge"),
-            *[c.alias(f) for c, f in zip(found, flags, strict=True)],
-            (F.col("extra_documented") + T.count_documented_definitions(code)).alias("extra_documented"),
-        )
-    return rows.drop("at", "code_edge", "bare_edge")
-
-
-def _each_state(*kinds: str) -> list[str]:
-    return [f"{kind}_{s}" for s in STATES for kind in kinds]
+def _begun(start: int) -> Column:
+    """How a file reads from a state, given where in its project quotes of each kind come up last."""
+    later = {
+        q: F.coalesce(F.col("path") < F.col(f"last_{n}"), F.lit(False)) for q, n in ((DOUBLE, "double"), (SINGLE, "single"))
+    }
+    case = lambda i: F.get("readings", F.lit(3 * start + i))
+    state = case(0)["state"]
+    same = F.when(state == DOUBLE, later[DOUBLE]).when(state == SINGLE, later[SINGLE]).otherwise(F.lit(True))
+    other = F.when(state == DOUBLE, later[SINGLE]).otherwise(later[DOUBLE])
+    return F.when(same, case(0)).when(other, case(1)).otherwise(case(2))
 
 
-def _lexed_files(files: DataFrame, last: DataFrame) -> DataFrame:
-    """For every file and every state it may begin in: the state at its end and its code.
+def summaries(placed: DataFrame) -> DataFrame:
+    """(project, at, code_edge, runs, extra_documented, found_*): one row per file, numbered within its project.
 
-    `last` has, per project, the last path that holds quotes of each kind.
+    `runs` has a reading for each state the file may begin in.
     """
-    bare = files.select("project", "path", T.strip_comments(F.col("code")).alias("text"))
-    later = {q: F.coalesce(F.col("path") < F.col(f"last_{q}"), F.lit(False)) for q in STATES[1:]}
-    lexed = bare.join(last, "project").select(
-        "project",
-        "path",
-        *[lex_blocks(F.col("text"), s, later["double"], later["single"]).alias(f"lex_{s}") for s in STATES],
+    last = [F.max(F.when(F.col(f"has_{q}"), F.col("path"))).alias(f"last_{q}") for q in STATES[1:]]
+    facts = placed.groupBy("project").agg(F.min("position").alias("first"), *last)
+    # A file without triple quotes is all code, or all inside a block.
+    none = [F.lit(False).alias(n) for n in BARE_SIGNALS]
+    plain = F.array(
+        F.struct(F.lit(CODE).alias("state"), F.coalesce("bare_edge", "code_edge").alias("text"), *BARE_SIGNALS),
+        *[F.struct(F.lit(q).alias("state"), F.lit("").alias("text"), *none) for q in (DOUBLE, SINGLE)],
     )
-    ends = lexed.select("project", "path", *[lexed_end(F.col(f"lex_{s}")).alias(f"end_{s}") for s in STATES])
-    code = ends.select(
+    quoted = F.array(*[_begun(s) for s in (CODE, DOUBLE, SINGLE)])
+    return placed.join(facts, "project").select(
         "project",
-        "path",
-        *[F.col(f"end_{s}.state").alias(f"state_{s}") for s in STATES],
-        *[F.col(f"end_{s}.piece").alias(f"text_{s}") for s in STATES],
-    )
-    ready = code.withColumns(
-        {
-            **{f"low_{s}": lowered(F.col(f"text_{s}")) for s in STATES},
-            **{f"odd_{s}": has_odd_case(F.col(f"text_{s}")) for s in STATES},
-        }
+        (F.col("position") - F.col("first")).alias("at"),
+        "code_edge",
+        F.when(F.col("readings").isNull(), plain).otherwise(quoted).alias("runs"),
+        F.lit(0).cast("long").alias("extra_documented"),
+        *[F.lit(False).alias(f"found_{n}") for n in CROSSING],
     )
-    flags = [
-        rule.on(Text(f"text_{s}", f"low_{s}", f"odd_{s}")).alias(f"{name}_{s}")
-        for s in STATES
-        for name, rule in BARE_SIGNALS.items()
-    ]
-    edges = [edge(F.col(f"text_{s}")).alias(f"text_{s}") for s in STATES]
-    return ready.select("project", "path", *_each_state("state"), *edges, *flags)
-
-
-def _open_block_signals(files: DataFrame, last: DataFrame, group: int) -> DataFrame:
-    """The comment-free-code signals of projects where a triple-quoted block may span files.
-
-    Whether a file begins inside a block depends on every file before it, so each
-    file is read for all three possible beginnings; merging neighbours chains the
-    end of one to the beginning of the next.
-    """
-    placed = with_position(cut_lineage(_lexed_files(files, last)), ["project", "path"])
-    rows = placed.withColumn("at", F.col("position") - 1)
-    columns = _each_state("state", "text", *BARE_SIGNALS)
-    for _ in range(_rounds(placed, group)):
-        parts = rows.groupBy("project", F.floor(F.col("at") / group).alias("block")).agg(
-            _in_order(columns).alias("parts")
-        )
-        chained = parts.select(
-            "project", F.col("block").alias("at"), *[_chain(s).alias(f"run_{s}") for s in STATES]
-        )
-        rows = chained.select(
-            "project",
-            "at",
-            *[F.col(f"run_{s}.state").alias(f"state_{s}") for s in STATES],
-            *[edge(F.col(f"run_{s}.text")).alias(f"text_{s}") for s in STATES],
-            *[
-                (F.col(f"run_{s}.{name}") | rule.search(F.col(f"run_{s}.text"))).alias(f"{name}_{s}")
-                for s in STATES
-                for name, rule in BARE_SIGNALS.items()
-            ],
-        )
-    return rows.select("project", *[F.col(f"{n}_code").alias(n) for n in BARE_SIGNALS])
 
 
-def _chain(start: str) -> Column:
-    """Fold the parts of a group in order, beginning in state `start`."""
+def _chain(start: int) -> Column:
+    """The readings of a group's parts in order, beginning in a state, put end to end."""
     first = F.struct(
         F.lit(start).alias("state"),
         F.lit(None).cast("string").alias("text"),
         *[F.lit(False).alias(n) for n in BARE_SIGNALS],
     )
 
-    def pick(state: Column, part: Column, kind: str) -> Column:
-        return (
-            F.when(state == "code", part[f"{kind}_code"])
-            .when(state == "double", part[f"{kind}_double"])
-            .otherwise(part[f"{kind}_single"])
-        )
-
     def step(run: Column, part: Column) -> Column:
-        state = run["state"]
-        gap = F.when(state == "code", GAP).otherwise("")
-        text = pick(state, part, "text")
+        here = F.get(part["runs"], run["state"])
+        gap = F.when(run["state"] == CODE, GAP).otherwise("")
         return F.struct(
-            pick(state, part, "state").alias("state"),
-            F.when(run["text"].isNull(), text).otherwise(F.concat(run["text"], gap, text)).alias("text"),
-            *[(run[n] | pick(state, part, n)).alias(n) for n in BARE_SIGNALS],
+            here["state"].alias("state"),
+            F.when(run["text"].isNull(), here["text"]).otherwise(F.concat(run["text"], gap, here["text"])).alias("text"),
+            *[(run[n] | here[n]).alias(n) for n in BARE_SIGNALS],
         )
 
     return F.aggregate("parts", first, step)
 
 
+def grouped(rows: DataFrame, group: int) -> DataFrame:
+    """Up to `group` neighbouring summaries of a project in one row, in order."""
+    code = F.col("code_edge")
+    return rows.groupBy("project", F.floor(F.col("at") / group).alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("at", "code_edge", "runs"))).alias("parts"),
+        F.sum(F.col("extra_documented") - T.count_documented_definitions(code)).alias("extra_documented"),
+        *[F.bool_or(f"found_{n}").alias(f"found_{n}") for n in CROSSING],
+    )
+
+
+def merged(rows: DataFrame, group: int) -> DataFrame:
+    """One merge step: summaries of up to `group` neighbours as one."""
+    joined = grouped(rows, group).select(
+        "project",
+        F.col("block").alias("at"),
+        F.array_join("parts.code_edge", GAP).alias("code"),
+        F.array(*[_chain(s) for s in (CODE, DOUBLE, SINGLE)]).alias("runs"),
+        "extra_documented",
+        *[f"found_{n}" for n in CROSSING],
+    )
+    code = F.col("code")
+
+    def read(run: Column) -> Column:
+        found = [(run[n] | rule.search(run["text"])).alias(n) for n, rule in BARE_SIGNALS.items()]
+        return F.struct(run["state"].alias("state"), edge(run["text"]).alias("text"), *found)
+
+    return joined.select(
+        "project",
+        "at",
+        edge(code).alias("code_edge"),
+        F.transform("runs", read).alias("runs"),
+        (F.col("extra_documented") + T.count_documented_definitions(code)).alias("extra_documented"),
+        *[(F.col(f"found_{n}") | CODE_SIGNALS[n].search(code)).alias(f"found_{n}") for n in CROSSING],
+    )
+
+
+def rounds_needed(files: int, group: int) -> int:
+    """How many merge steps leave one row of a project with this many files."""
+    rounds = 0
+    while group**rounds < files:
+        rounds += 1
+    return rounds
+
+
 def _named(files: DataFrame) -> DataFrame:
     """Projects under names that are never null, so that joins on them lose nothing."""
     return files.withColumn("project", F.coalesce(F.concat(F.lit("p"), "project"), F.lit("n")))
@@ -233,36 +194,37 @@ def _unnamed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("project", F.when(F.col("project") != "n", F.substring("project", 2, 1 << 30)))
 
 
+def placed_files(files: DataFrame) -> DataFrame:
+    """The signals and summaries of readable files, in the order of (project, path)."""
+    # Written before the sort: range partitioning reads its input twice, the text must be read once.
+    return with_position(cut_lineage(file_signals(files, edges=True)), ["project", "path"])
+
+
 def merged_signals(files: DataFrame, group: int = GROUP) -> DataFrame:
     """The signals of each project's files merged in path order, a blank line between files.
 
     Files without a project are one project, whose name is null.
     """
     files = _named(files)
-    readable = files.where(F.col("code").isNotNull())
-    # Written before the sort: range partitioning reads its input twice, the text must be read once.
-    placed = with_position(cut_lineage(file_signals(readable, edges=True)), ["project", "path"])
+    placed = placed_files(files.where(F.col("code").isNotNull()))
     everything = files.where(F.col("code").isNull()).select("project").distinct()
     rolled = _rolled_up(placed.unionByName(everything, allowMissingColumns=True))
-    crossing = _merge_edges(placed, group)
-    joined = rolled.join(crossing, "project", "left")
-    found = {n: F.col(n) | F.coalesce(f"found_{n}", F.lit(False)) for n in (*CROSSING, *BARE_SIGNALS)}
-    found["n_documented"] = F.col("n_documented") + F.coalesce("extra_documented", F.lit(0))
-
-    last = [F.max(F.when(F.col(f"has_{q}"), F.col("path"))).alias(f"last_{q}") for q in STATES[1:]]
-    spanning = placed.groupBy("project").agg(F.bool_or("open_block").alias("open"), *last).where("open").drop("open")
-    width = F.octet_length("project") + sum(
-        F.coalesce(F.octet_length(f"last_{q}"), F.lit(0)) for q in STATES[1:]
+    rows = summaries(placed)
+    most = placed.groupBy("project").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(rounds_needed(most, group)):
+        rows = merged(rows, group)
+    whole = F.get("runs", F.lit(CODE))
+    summary = rows.select(
+        "project",
+        "extra_documented",
+        *[f"found_{n}" for n in CROSSING],
+        *[whole[n].alias(f"whole_{n}") for n in BARE_SIGNALS],
     )
-    size = spanning.agg(F.sum(width + 32)).first()[0]
-    if size is not None:
-        # One row per project, broadcast while its measured size allows; beyond, Spark splits hot projects.
-        known = F.broadcast(spanning) if size <= BROADCAST_BYTES else spanning
-        exact = _open_block_signals(readable, known, group)
-        joined = joined.join(
-            exact.select("project", *[F.col(n).alias(f"exact_{n}") for n in BARE_SIGNALS]), "project", "left"
-        )
-        found |= {n: F.coalesce(F.col(f"exact_{n}"), found[n]) for n in BARE_SIGNALS}
+    joined = rolled.join(summary, "project", "left")
+    found = {n: F.col(n) | F.coalesce(f"found_{n}", F.lit(False)) for n in CROSSING}
+    # A file that begins inside a block counts as it reads there.
+    found |= {n: F.coalesce(f"whole_{n}", F.lit(False)) for n in BARE_SIGNALS}
+    found["n_documented"] = F.col("n_documented") + F.coalesce("extra_documented", F.lit(0))
     return _unnamed(joined.select("project", *[found.get(n, F.col(n)).alias(n) for n in (*FLAGS, *COUNTS)]))
 
 
@@ -274,11 +236,17 @@ def project_scan_merged(files: DataFrame, group: int = GROUP) -> DataFrame:
     return with_summary(findings_from_signals(merged_signals(files, group), ["project"]))
 
 
+def file_lines(files: DataFrame) -> DataFrame:
+    """(project, file, lines) of every file that could be read, as long rows without a cap."""
+    readable = files.where(F.col("code").isNotNull())
+    return readable.select("project", F.col("path").alias("file"), T.count_lines(F.col("code")).alias("lines"))
+
+
 def project_files(files: DataFrame, shown: int = FILES_SHOWN) -> DataFrame:
     """Per project: how many files were read, and the first `shown` of them with line counts.
 
     The text is read once, into narrow rows; the row limit is applied within each task
-    before the shuffle.
+    before the shuffle.  `file_lines` lists all files.
     """
     slim = cut_lineage(_named(files).select("project", "path", T.count_lines(F.col("code")).alias("lines")))
     totals = slim.groupBy("project").agg(F.count("lines").alias("files_scanned"))
