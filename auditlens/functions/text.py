@@ -56,7 +56,7 @@ def has_triple_quote(code: Column) -> Column:
 
 def strip_blocks(code: Column) -> Column:
     """Drop triple-quoted blocks, leftmost first, each up to its nearest closing quotes."""
-    blocks = r'"""[\s\S]*?"""' + r"|'''[\s\S]*?'''"
+    blocks = r'(?s)""".*?"""' + r"|'''.*?'''"
     return F.when(has_triple_quote(code), F.regexp_replace(code, blocks, "")).otherwise(code)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from auditlens.functions import text as T
 from auditlens.functions.edges import CODE, DOUBLE, OPENERS, SINGLE, STATES, edge, lexed_cases
+from auditlens.functions.matching import Text, has_odd_case, lowered
 from auditlens.functions.rules import BARE_SIGNALS, CODE_SIGNALS, FRAMEWORKS, HALF_SIGNALS, TRUST_LAYER
 from auditlens.operators.findings import findings_from_signals, with_summary
 from auditlens.operators.ordering import with_position
@@ -50,18 +51,32 @@ def file_signals(files: DataFrame, edges: bool = False) -> DataFrame:
         quoted = T.has_triple_quote(plain)
         columns["code_edge"] = edge(code)
         columns["bare_edge"] = F.when(~quoted & (code != bare), edge(bare))
-        columns["readings"] = F.when(
-            quoted, F.transform(lexed_cases(plain), lambda x: F.when(x.isNotNull(), _reading(x["state"], x["piece"])))
-        )
+        columns["readings"] = F.when(quoted, _read(lexed_cases(plain), known=False))
         columns["has_double"] = plain.contains(OPENERS["double"])
         columns["has_single"] = plain.contains(OPENERS["single"])
     return prepared.select("project", "path", *[c.alias(n) for n, c in columns.items()])
 
 
-def _reading(state: Column, text: Column) -> Column:
-    """The state a text ends in, its edge and what the checks find in it."""
-    found = [rule.search(text).alias(n) for n, rule in BARE_SIGNALS.items()]
-    return F.struct(state.alias("state"), edge(text).alias("text"), *found)
+def _read(runs: Column, known: bool) -> Column:
+    """Texts with the state they end in as readings: what the checks find is added, and texts become edges.
+
+    `known` tells that they have been checked in parts, whose findings hold.
+    """
+
+    def with_cases(x: Column) -> Column:
+        flags = [x[n].alias(n) for n in BARE_SIGNALS] if known else [F.lit(False).alias(n) for n in BARE_SIGNALS]
+        text = x["text"]
+        return F.struct(
+            x["state"].alias("state"), text.alias("text"), *flags, lowered(text).alias("low"), has_odd_case(text).alias("odd")
+        )
+
+    # Rules are SQL text over named columns, so they are put into a lambda of SQL.
+    names = Text("x.text", "x.low", "x.odd")
+    found = ", ".join(f"'{n}', x.{n} OR {rule.sql(names)}" for n, rule in BARE_SIGNALS.items())
+    checked = F.call_function("transform", F.transform(runs, lambda x: F.when(x.isNotNull(), with_cases(x))), F.expr(
+        f"x -> IF(x IS NULL, NULL, named_struct('state', x.state, 'text', x.text, {found}))"
+    ))
+    return F.transform(checked, lambda x: F.when(x.isNotNull(), x.withField("text", edge(x["text"]))))
 
 
 def _rolled_up(per_file: DataFrame) -> DataFrame:
@@ -162,18 +177,15 @@ def merged(rows: DataFrame, group: int) -> DataFrame:
         *[f"found_{n}" for n in CROSSING],
     )
     code = F.col("code")
-
-    def read(run: Column) -> Column:
-        found = [(run[n] | rule.search(run["text"])).alias(n) for n, rule in BARE_SIGNALS.items()]
-        return F.struct(run["state"].alias("state"), edge(run["text"]).alias("text"), *found)
-
-    return joined.select(
+    ready = joined.withColumns({"low": lowered(code), "odd": has_odd_case(code)})
+    names = Text("code", "low", "odd")
+    return ready.select(
         "project",
         "at",
         edge(code).alias("code_edge"),
-        F.transform("runs", read).alias("runs"),
+        _read(F.col("runs"), known=True).alias("runs"),
         (F.col("extra_documented") + T.count_documented_definitions(code)).alias("extra_documented"),
-        *[(F.col(f"found_{n}") | CODE_SIGNALS[n].search(code)).alias(f"found_{n}") for n in CROSSING],
+        *[(F.col(f"found_{n}") | CODE_SIGNALS[n].on(names)).alias(f"found_{n}") for n in CROSSING],
     )
 
 
