@@ -9,7 +9,7 @@ The hash recipe is this library's own, on HMAC-SHA256:
 Events of an agent are ordered by time, then id.  An edit, a removed or inserted
 event and a changed order all break at least one link, and no valid link can be
 made without the key.  Removing the newest events leaves a shorter valid chain;
-no chain without an outside record of its end can show that.
+`chain_log` keeps the records that show it.
 
 Each link needs its neighbour's digest only, so building and verifying run in
 parallel over the rows of one agent however many it has.
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from auditlens.functions.hashing import canonical_text, exact_number, hmac_sha256, key_pads
 from auditlens.operators.ordering import with_previous
-from auditlens.session import cut_lineage
 
 GENESIS = "genesis"
 ORDER = ("ts", "id")
@@ -49,8 +48,7 @@ def event_digest() -> Column:
 
 
 def _with_previous_digest(events: DataFrame, keep: list[str]) -> DataFrame:
-    # Written before the sort, which reads its input twice: every digest is made once.
-    narrow = cut_lineage(events.select("agent_id", *ORDER, *keep, event_digest().alias("digest")))
+    narrow = events.select("agent_id", *ORDER, *keep, event_digest().alias("digest"))
     return with_previous(narrow, "agent_id", ORDER, {"previous_digest": "digest"})
 
 
@@ -105,7 +103,7 @@ def chain_breaks(events: DataFrame, key: bytes) -> DataFrame:
     return links.where(~F.col("chain_hash").eqNullSafe(F.col("expected_hash")))
 
 
-def _verdict(valid: Column) -> list[Column]:
+def verdict_columns(valid: Column) -> list[Column]:
     # The two messages.
     message = F.when(valid, "Chain intact").otherwise("Chain broken - possible tampering detected")
     return [valid.alias("valid"), message.alias("message")]
@@ -116,7 +114,7 @@ def verify_chain(events: DataFrame, key: bytes, agent_id: str | None = None) ->
     scoped = events if agent_id is None else events.where(F.col("agent_id") == agent_id)
     ok = F.col("chain_hash").eqNullSafe(F.col("expected_hash"))
     total = expected_links(scoped, key, ["chain_hash"]).agg(F.coalesce(F.bool_and(ok), F.lit(True)).alias("ok"))
-    return total.select(F.lit(agent_id or "all").alias("scope"), *_verdict(F.col("ok")))
+    return total.select(F.lit(agent_id or "all").alias("scope"), *verdict_columns(F.col("ok")))
 
 
 def verify_agents(events: DataFrame, key: bytes) -> DataFrame:
@@ -128,5 +126,5 @@ def verify_agents(events: DataFrame, key: bytes) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("events"), F.count_if(~ok).alias("broken"))
     )
     return per_agent.select(
-        F.col("agent_id").alias("scope"), "events", "broken", *_verdict(F.col("broken") == 0)
+        F.col("agent_id").alias("scope"), "events", "broken", *verdict_columns(F.col("broken") == 0)
     )

@@ -6,10 +6,13 @@ ties between scans of one moment.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlens.operators.ordering import with_previous
+from auditlens.sources.commits import CommittedTable
+
+HISTORY_SCHEMA = "project string, scan_id long, scanned_at timestamp_ntz, passing int, total int"
 
 
 def score_text() -> Column:
@@ -70,6 +73,16 @@ def history_rows(scanned: DataFrame, project: str, scan_id: Column, scanned_at:
     )
 
 
+def append_history(rows: DataFrame, root: str) -> int:
+    """Append scans in one commit and return its version; writers at the same time lose nothing."""
+    return CommittedTable(rows.sparkSession, root).append(rows.select("project", "scan_id", "scanned_at", "passing", "total"))
+
+
+def read_history(spark: SparkSession, root: str, as_of: int | None = None) -> DataFrame:
+    """The history, or what it was at a version."""
+    return CommittedTable(spark, root).read(HISTORY_SCHEMA, as_of)
+
+
 def compliance_history(history: DataFrame, action: str = "list") -> DataFrame:
     """`trend`, `score`, or the list of scans for any other action."""
     views = {"trend": history_trend, "score": history_score}

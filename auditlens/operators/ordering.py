@@ -1,16 +1,15 @@
 """Row positions and neighbours in a total order, safe for very large groups.
 
-A window without frame limits sorts a whole group in one task.  Here the rows are
-range-partitioned on the full sort key instead, so a group of any size is spread
+A window over a whole group sorts it in one task.  Here the rows are cut along their order
+as well, by range partitions or slices of about equal size, so a group of any size is spread
 over as many tasks as it needs.  A row's neighbour is then the row before it in its own
-partition, or the last one of an earlier partition.  The order columns must identify a row.
+slice, or the last one of an earlier slice.  The order columns must identify a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,56 +44,74 @@ def with_position(df: DataFrame, order: Sequence[str], output: str = "position")
     )
 
 
-def _shifted(sources: list[str]):
-    """Per partition, every row with the sources of the row before it; nulls in the first row."""
+def _as_number(name: str, kind: T.DataType) -> Column:
+    """A number that never falls as the column rises; equal ones may stand for different values."""
+    c = F.col(name)
+    if isinstance(kind, T.NumericType):
+        return c.cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return c.cast("double")
+    if isinstance(kind, T.TimestampNTZType):  # without a detour over a time zone, whose hours may repeat
+        day = F.unix_date(c.cast("date")).cast("double")
+        return day * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    head = F.substring(F.rpad(F.hex(c.cast("string").cast("binary")), 14, "0"), 1, 14)
+    return F.conv(head, 16, 10).cast("double")
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[pa.Array] | None = None
-        for part in parts:
-            if part.num_rows == 0:
-                continue
-            first = last is None
-            columns = [part.column(part.schema.get_field_index(c)) for c in sources]
-            heads = [pa.nulls(1, c.type) for c in columns] if first else last
-            before = [pa.concat_arrays([h, c.slice(0, len(c) - 1)]) for h, c in zip(heads, columns)]
-            opens = pa.array([first] + [False] * (part.num_rows - 1))
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, *before, opens],
-                names=[*part.schema.names, *[f"__before_{c}" for c in sources], "__opens"],
-            )
-            last = [c.slice(len(c) - 1, 1) for c in columns]
 
-    return run
+def _slice_of(df: DataFrame, name: str) -> Column:
+    """The number of a row's slice in the order of a column; slices have about as many rows each.
+
+    There are twice as many as shuffle partitions, as range partitioning would have bounds.
+    """
+    number = _as_number(name, df.schema[name].dataType)
+    n = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / n for i in range(1, n)]
+    found = df.select(F.percentile_approx(number, shares, max(10_000, 20 * n)).alias("bounds")).first()
+    bounds = sorted(set((found["bounds"] if found else None) or []))
+    if not bounds:
+        return F.lit(0)
+    table = F.array(*[F.lit(float(b)) for b in bounds])
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+
+    def halved(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        less = (state["low"] < state["high"]) & (F.get(table, middle) <= F.col("__number"))
+        return F.struct(
+            F.when(less, middle + 1).otherwise(state["low"]).alias("low"),
+            F.when(less | (state["low"] >= state["high"]), state["high"]).otherwise(middle).alias("high"),
+        )
+
+    first = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    # Nulls come first.
+    return F.when(F.col("__number").isNotNull(), F.aggregate(steps, first, halved)["low"]).otherwise(-1)
 
 
 def with_previous(df: DataFrame, key: str, order: Sequence[str], values: dict[str, str]) -> DataFrame:
     """Add columns of the previous row of the same key: {output name: source column}.
 
     The first row of a key gets nulls.  `has_previous` tells a missing row from a
-    null value.  The rows are written once after the sort, and shifted by one where they
-    lie: no join finds a neighbour.  (Spark has no function for the row before in the
-    same partition; a window would shuffle the rows again.)
+    null value.  Rows are shuffled once, by key and slice of the order, so that a key of
+    any size is spread out, and take the row before from a window.  The first row of
+    a slice takes the last one of an earlier slice, from a table with a row per key and slice.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sort = [key, *order]
-    ranged = df.repartitionByRange(partitions, *sort).sortWithinPartitions(*sort)
-    placed = cut_lineage(ranged.withColumn("__part", F.spark_partition_id()))
-    sources = list(dict.fromkeys([key, *values.values()]))
-    schema = T.StructType(list(placed.schema.fields))
-    for c in sources:
-        schema = schema.add(f"__before_{c}", placed.schema[c].dataType)
-    shifted = placed.mapInArrow(_shifted(sources), schema.add("__opens", "boolean"))
-
-    # The last row of each partition goes to the next one that has rows: one short row a partition.
-    ends = placed.groupBy("__part").agg(F.max_by(F.struct(*sources), F.struct(*sort)).alias("end"))
-    heads = ends.select("__part", F.lag("end").over(Window.orderBy("__part")).alias("__end"))
-    joined = shifted.join(F.broadcast(heads), "__part")
-
-    def before(c: str) -> Column:
-        return F.when(F.col("__opens"), F.col("__end")[c]).otherwise(F.col(f"__before_{c}"))
-
-    exists = ~F.col("__opens") | F.col("__end").isNotNull()
-    same = exists & before(key).eqNullSafe(F.col(key))
-    return joined.select(
-        *df.columns, *[F.when(same, before(src)).alias(out) for out, src in values.items()], same.alias("has_previous")
+    number = _as_number(order[0], df.schema[order[0]].dataType)
+    ready = df.withColumns(
+        {"__number": number, "__key": F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("n"))}
+    )
+    sliced = ready.withColumn("__slice", _slice_of(df, order[0])).drop("__number")
+    row = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(values.values())], F.lit(True).alias("known"))
+    spread = sliced.repartition("__key", "__slice")
+    within = Window.partitionBy("__key", "__slice").orderBy(*order)
+    shifted = spread.withColumn("__before", F.lag(row).over(within))
+    ends = spread.groupBy("__key", "__slice").agg(F.max_by(row, F.struct(*order)).alias("__end"))
+    earlier = ends.select(
+        "__key", "__slice", F.lag("__end").over(Window.partitionBy("__key").orderBy("__slice")).alias("__end")
+    )
+    before = F.coalesce("__before", "__end")
+    return shifted.join(earlier, ["__key", "__slice"], "left").select(
+        *df.columns,
+        *[before[f"v{i}"].alias(out) for i, out in enumerate(values)],
+        before.isNotNull().alias("has_previous"),
     )
