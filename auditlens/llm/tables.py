@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Let Spark delete the shuffle files of a query when the query ends.
+
+    For operators that write many intermediate tables: each starts from files, so the
+    shuffles before it are not needed again.  It holds for the tables defined inside.
+    """
+    before = spark.conf.get(_CLEANUP, None)
+    if before is None:  # a Spark without this setting keeps them longer
+        yield
+        return
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def replaced(old: DataFrame, new: DataFrame, label: str) -> DataFrame:
     """Write the next state of an iteration, and delete the state before, which nothing needs any more."""
     table = stored(new, label)

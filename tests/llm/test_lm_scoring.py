@@ -81,13 +81,13 @@ def test_query_equals_plain_model(spark, given):
     assert sum(r[5] for r in out) > sum(r[4] for r in out)
 
 
-@pytest.mark.parametrize(("block_bytes", "shard_tokens"), [(1, 1 << 21), (1 << 23, 50), (500, 300)])
-def test_hard_texts(spark, hard, block_bytes, shard_tokens):
+@pytest.mark.parametrize(("block_bytes", "shard_bytes"), [(1, 1 << 21), (1 << 23, 900), (500, 3000)])
+def test_hard_texts(spark, hard, block_bytes, shard_bytes):
     """Any cut into blocks and shards gives the same; words more frequent than a shard are dealt over several."""
     docs = hard.unionAll(hard.where("doc_id > 12")).withColumn("a.b", F.lit(1)).withColumn("shard", F.lit(1))
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     expected = sorted(zip([i for i, _ in rows], model([(i % 3 > 0, t) for i, t in rows])), key=str)
-    result = score_texts(docs, F.col("doc_id") % 3 > 0, block_bytes=block_bytes, shard_tokens=shard_tokens)
+    result = score_texts(docs, F.col("doc_id") % 3 > 0, block_bytes=block_bytes, shard_bytes=shard_bytes)
     result = sorted(((r["doc_id"], tuple(r)[1:]) for r in result.collect()), key=str)
     assert [i for i, _ in result] == [i for i, _ in expected]
     compare([r for _, r in result], [r for _, r in expected])
@@ -99,6 +99,14 @@ def test_null_ids_are_learned_from(spark):
     assert [r[1:4] for r in result] == [(False, 1, 1), (False, 3, 3), (False, 3, 3)]
 
 
+def test_tries_can_be_kept(spark, hard):
+    """The model is a table of tries, whose entries are those of the texts."""
+    rows = lm_scoring.train_tries(hard, shard_bytes=2000).collect()
+    two = {p for t in hard.collect() for p in zip(["<s>", *tokens(t["text"])], tokens(t["text"]))}
+    assert len(rows) > 3
+    assert sum(ngram_trie.Trie(bytes(r["body"])).next2.n for r in rows) == len(two)
+
+
 def test_nothing_to_learn_from(spark, hard, empty):
     assert score_texts(empty, F.lit(True)).collect() == []
     rows = score_texts(hard, F.lit(None).cast("boolean")).collect()
