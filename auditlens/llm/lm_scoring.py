@@ -34,8 +34,8 @@ from auditlens.llm.tables import shuffle_partitions, stored, tidy_shuffles
 from auditlens.session import remove_folder
 
 #: Bytes of text of a block, and of the text that a shard is made for.
-BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
+SHARD_BYTES = 6 << 20
 #: What the estimate of a single word adds to its count.
 ADDED = 0.1
 _SLICE = 1 << 20
