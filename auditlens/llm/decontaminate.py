@@ -5,7 +5,8 @@ Karp-Rabin hashes over LEAST words give the seeds that a document shares with an
 the benchmark; seeds on one diagonal join to maximal matches, verified on the words.
 Then the longest match that does not overlap a marked one is marked, again and again,
 until none of LEAST words is left.  An item is in a document if the marked tiles cover
-enough of the item, wherever they stand, so passages in another order count, too.
+enough of the item, wherever they stand, so passages in another order count, too.  An item
+of fewer words than LEAST has one seed, all its words.
 
 The benchmark is the query set: it is cut into blocks of bounded size, and every block is
 sent to the tasks that read all documents.  No text of a document is shuffled.
@@ -23,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.llm.substring_dedup import Words
+from auditlens.llm.tables import whole_row
 
 LEAST = 5
 COVERAGE = 0.8
 #: Words of benchmark text that a broadcast block is meant for, and bytes of documents looked at together.
 BLOCK_WORDS = 1 << 20
 CHUNK_BYTES = 4 << 20
+#: Pairs of places of one document and item block beyond which repeating stretches are looked for, and their periods.
+MANY_PAIRS, PERIODS = 100_000, 16
 
 _PLAIN = bytes(
     c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256)
@@ -41,24 +45,24 @@ def plain_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_PLAIN).split()
 
 
-def running_hashes(words: Words) -> np.ndarray:
-    """The Karp-Rabin hash of each LEAST neighbouring words, modulo 2^64."""
-    size = max(0, len(words.hashes) - LEAST + 1)
+def running_hashes(words: Words, least: int = LEAST) -> np.ndarray:
+    """The Karp-Rabin hash of each `least` neighbouring words, modulo 2^64."""
+    size = max(0, len(words.hashes) - least + 1)
     total = np.zeros(size, dtype=np.uint64)
-    for i in range(LEAST):
+    for i in range(least):
         total *= _FACTOR
         total += words.hashes[i : i + size]
     return total
 
 
-class Seeds:
-    """The items of a block of the benchmark and where their seeds stand."""
+class SeedTable:
+    """Where the seeds of `least` words stand in items (number, words)."""
 
-    def __init__(self, items: list[tuple[object, bytes]]):
-        self.items = [(key, found) for key, text in items if len(found := plain_words(text)) >= LEAST]
+    def __init__(self, items: list[tuple[int, list[bytes]]], least: int):
+        self.least, self.longest = least, max((len(found) for _, found in items), default=0)
         hashes, item, place = [], [], []
-        for n, (_, found) in enumerate(self.items):
-            values = running_hashes(Words(b" ".join(found)))
+        for n, found in items:
+            values = running_hashes(Words(b" ".join(found)), least)
             hashes.append(values)
             item.append(np.full(len(values), n, dtype=np.int64))
             place.append(np.arange(len(values)))
@@ -81,6 +85,37 @@ class Seeds:
         same = self.values[at] == hashes[some]
         return some[same], at[same]
 
+    def without_middles(self, at: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A document's hits without the middles of long stretches that repeat the same few words.
+
+        Tiles of an item have no more words than the item and take the first places that
+        do, so they lie within that many words of an end of the stretch.
+        """
+        if (self.ends - self.begins)[seed].sum() <= MANY_PAIRS:
+            return at, seed
+        for period in range(1, PERIODS + 1):
+            if len(at) <= period:
+                break
+            same = (seed[period:] == seed[:-period]) & (at[period:] == at[:-period] + period)
+            ends = np.flatnonzero(np.diff(same, prepend=False, append=False))
+            margin = self.longest + period
+            keep = np.ones(len(at), dtype=bool)
+            for first, last in zip(ends[::2], ends[1::2], strict=True):
+                keep[first + margin : max(first + margin, last + period - margin)] = False
+            at, seed = at[keep], seed[keep]
+        return at, seed
+
+
+class Seeds:
+    """The items of a block of the benchmark, and a table of seeds for each seed length."""
+
+    def __init__(self, items: list[tuple[object, bytes]]):
+        self.items = [(key, found) for key, text in items if (found := plain_words(text))]
+        by_length: dict[int, list[tuple[int, list[bytes]]]] = defaultdict(list)
+        for n, (_, found) in enumerate(self.items):
+            by_length[min(LEAST, len(found))].append((n, found))
+        self.tables = [SeedTable(some, least) for least, some in sorted(by_length.items())]
+
 
 def longest_tiles(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Tiles (length, place in item, place in document), longest first, from maximal matches of that form.
@@ -124,14 +159,20 @@ def _maximal(pairs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     return found
 
 
-def _covered(doc: list[bytes], seeds: Seeds, at: np.ndarray, seed: np.ndarray, coverage: float):
+def _covered(doc: list[bytes], items: list, table: SeedTable, at: np.ndarray, seed: np.ndarray, coverage: float):
     """(item, covered words, tiles) of the items that the tiles cover well enough, for one document."""
+    least = table.least
     by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    at, seed = table.without_middles(at, seed)
     for q, s in zip(at.tolist(), seed.tolist()):
-        for k in range(int(seeds.begins[s]), int(seeds.ends[s])):
-            by_item[int(seeds.item[k])].append((int(seeds.place[k]), q))
+        for k in range(int(table.begins[s]), int(table.ends[s])):
+            by_item[int(table.item[k])].append((int(table.place[k]), q))
     for n, pairs in sorted(by_item.items()):
-        item = seeds.items[n][1]
+        item = items[n][1]
+        if least < LEAST:  # the seed is the whole item
+            if any(item == doc[q : q + least] for _, q in pairs):
+                yield n, least, 1
+            continue
         need = coverage * len(item)
         # Tiles lie within seeds, so too few words under seeds are too few under tiles.
         if len({p + i for p in {p for p, _ in pairs} for i in range(LEAST)}) < need:
@@ -152,19 +193,19 @@ def scan(texts: list[bytes | None], seeds: Seeds, coverage: float = COVERAGE):
             size += len(texts[end] or b"")
             end += 1
         docs = [plain_words(t) for t in texts[begin:end]]
-        full = [i for i, d in enumerate(docs) if len(d) >= LEAST]
-        if full:
-            joined = Words(b" ".join(b" ".join(docs[i]) for i in full))
-            lengths = np.array([len(docs[i]) for i in full])
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            at, seed = seeds.hits(running_hashes(joined))
+        full = [i for i, d in enumerate(docs) if d]
+        joined = Words(b" ".join(b" ".join(docs[i]) for i in full)) if full else None
+        lengths = np.array([len(docs[i]) for i in full], dtype=np.int64)
+        starts = np.cumsum(lengths) - lengths
+        for table in seeds.tables if full else ():
+            at, seed = table.hits(running_hashes(joined, table.least))
             owner = np.searchsorted(starts, at, side="right") - 1
-            inside = at + LEAST <= starts[owner] + lengths[owner]
+            inside = at + table.least <= starts[owner] + lengths[owner]
             at, seed, owner = at[inside], seed[inside], owner[inside]
             edges = np.flatnonzero(np.diff(owner, prepend=-1, append=-1)) if len(owner) else []
             for lo, hi in zip(edges[:-1], edges[1:]):
                 o = int(owner[lo])
-                for found in _covered(docs[full[o]], seeds, at[lo:hi] - starts[o], seed[lo:hi], coverage):
+                for found in _covered(docs[full[o]], seeds.items, table, at[lo:hi] - starts[o], seed[lo:hi], coverage):
                     yield begin + full[o], *found
         begin = end
 
@@ -194,9 +235,10 @@ def find_leaks(
 ) -> DataFrame:
     """(id_col, item_col, item_words, covered, tiles, coverage): items found in documents.
 
-    Null, empty and short texts hold no item; items of fewer than LEAST words are not
-    searched for.  Equal rows of docs, and equal items, give one row.  A null id is an id.
-    Other columns are ignored, whatever their names.
+    Null and empty texts, and items without words, hold and are nothing.  Very long texts
+    are read whole, in time that grows with their length also if they repeat few words.
+    Equal rows of docs, and equal items, give one row.  A null id is an id.  Empty tables
+    give no row.  Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
@@ -239,18 +281,21 @@ def find_leaks(
 def clean_documents(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of docs that hold no item of the benchmark, with their columns as they were.
 
-    Rows are judged where they are read: nothing is joined or shuffled.
+    Rows are judged where they are read: nothing is joined or shuffled.  Null and empty
+    texts hold no item and stay; very long texts, repeated rows and rows with null or
+    repeated ids are judged like others.  An empty table stays empty.  Columns may have any
+    names: a row travels as one struct.
     """
-    place = docs.columns.index("text")
+    rows = docs.select(whole_row(docs).alias("row"), F.col("text").cast("binary").alias("text"))
     for items in blocks(benchmark, "item_id", "text"):
         sent = docs.sparkSession.sparkContext.broadcast(Seeds(items))
 
         def batch(parts: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for part in parts:
-                texts = [t.as_py() for t in part.column(place).cast(pa.binary())]
+                texts = [t.as_py() for t in part.column(1)]
                 keep = np.ones(len(texts), dtype=bool)
                 keep[[h[0] for h in scan(texts, sent.value, coverage)]] = False
                 yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(batch, docs.schema)
-    return docs
+        rows = rows.mapInArrow(batch, rows.schema)
+    return rows.select("row.*")

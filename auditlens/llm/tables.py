@@ -65,6 +65,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BREAKS), "")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names; `select("row.*")` gives them back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
+def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """(unnamed, id, content): in the order of ids, null ids last, and different for rows that differ in any column."""
+    row = F.col(f"`{id_col}`")
+    content = F.concat_ws(":", F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")), 256), F.xxhash64(whole_row(df)))
+    return F.struct(row.isNull().alias("unnamed"), row.alias("id"), content.alias("content"))
+
+
 def bind(value: Column, body) -> Column:
     """`body(value)` with `value` computed once, however often the body names it."""
     return F.transform(F.array(value), body)[0]
