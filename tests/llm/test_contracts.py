@@ -63,9 +63,9 @@ def tables(spark, given, hard):
     return [given, hard, frame(spark, repetitive(120)).repartition(6)]
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = [n for n in queries() if n.startswith("op") or n == "pipeline"]
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
     assert set(oracle_sql()) & set(names) == {"op3_license_scan"}
 
 
@@ -252,8 +252,11 @@ def test_licenses(spark, hard, empty):
 def test_size_bounds_lose_no_template(size):
     low, high = license_scan.size_bounds(size)
     for other in range(1, 200):
-        if 2 * min(size, other) / (size + other) >= license_scan.MIN_SIMILARITY:
-            assert low <= other <= high
+        reached = 200 * min(size, other) >= license_scan.PERCENT * (size + other)
+        assert reached == (low <= other <= high)
+        if reached:
+            shared = [k for k in range(min(size, other) + 1) if 200 * k >= license_scan.PERCENT * (size + other)]
+            assert min(shared) >= license_scan.least_shared(size)
 
 
 def test_token_files(spark, tables, empty):
