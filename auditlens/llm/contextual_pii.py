@@ -1,8 +1,10 @@
 """Personal data: patterns for four kinds, and identifiers found by their context.
 
-The base kinds are matched by pattern.  Their matches seed a bootstrap: the words before
-a match are a lexical pattern, a word that looks like an identifier is an instance, and
-both are scored in turn over the graph of patterns and instances of all documents:
+The base kinds are matched by pattern.  Their matches seed a bootstrap: the two words before
+an identifier are a lexical pattern, the identifier is an instance, and both are scored in
+turn over the graph of patterns and instances of all documents.  Known identifiers are whole
+base spans, unknown ones whole runs of words with a digit or an at sign; both are compared by
+their digits, however these are spaced, or by their text if it has letters.
 
     pattern score  = mean confidence of the instances seen in it, for a kind
     instance score = 1 - product of (1 - score) over the patterns it is seen in
@@ -35,11 +37,14 @@ SMALL_PARTS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 MIN_SUPPORT = 3
 MIN_SCORE = 0.8
 ROUNDS = 3
-#: A word with a digit or an at sign; the boundary in front keeps the search linear.
-_WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-
-
-#: A card or phone match has at most 19 words with a digit, and each at most four base spans that start in it.
+#: A run of words with a digit or an at sign; the boundary in front keeps the search linear.
+_WORD = r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+_RUN = rf"(?<![^\x20\x09-\x0D]){_WORD}(?:\x20++{_WORD})*+"
+#: An unknown identifier has at least so many characters and digits, or an at sign, and no more digits than any kind.
+LEAST_LENGTH, LEAST_DIGITS, MOST_DIGITS = 6, 4, 19
+_BREAKS, _LAST = "\t\n\x0b\f\r", 8
+
+#: A card or phone match runs on into at most 18 later runs, and each has at most four base spans that start in it.
 _REACH = 100
 
 
@@ -92,19 +97,35 @@ def base_spans(text: Column) -> Column:
 
 
 def _lexical(gap: Column) -> Column:
-    """The last two words of a gap in lower case; null where it has none."""
-    tail = words(F.lower(F.regexp_extract(gap, r"(?s)(.{0,80})\z", 1)))
-    return F.nullif(F.array_join(F.slice(tail, F.greatest(F.size(tail) - 1, F.lit(1)), 2), " "), F.lit(""))
+    """The last two words of a gap in lower case, whatever their length; null where it has none."""
+
+    def tail(text: Column) -> Column:
+        few = F.substring_index(text, " ", -_LAST)
+        found = F.array_remove(F.split(F.lower(few), r"\x20"), "")
+        # Many blanks in a row leave few words among the last pieces.
+        return F.when((F.size(found) >= 2) | (few == text), found).otherwise(words(F.lower(text)))
+
+    spaced = F.rtrim(F.translate(gap, _BREAKS, " " * len(_BREAKS)))
+    last = bind(bind(spaced, tail), lambda w: F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), 2))
+    return F.nullif(F.array_join(last, " "), F.lit(""))
+
+
+def _normalised(value: Column) -> Column:
+    """An identifier without what may differ between its spellings: the digits, or the text if it has letters."""
+    return F.when(value.rlike("[A-Za-z@]"), F.lower(value)).otherwise(
+        F.when(value.rlike(r"[0-9]\.[0-9]"), value).otherwise(_digits(value))
+    )
 
 
 def _instances(text: Column, base: Column) -> Column:
-    """Words like identifiers: place and value without outer punctuation, pattern, and kind if a base span starts there.
+    """Identifiers: place, normalised value and pattern, and the kind if a base span starts in the run.
 
-    Words that a base span only runs on into are parts of that span and left out.  Words
-    and base spans are put in one order, so that each word looks at its neighbours only.
+    A run with a base span stands for its first one; one that a base span only runs on into is a
+    part of that and left out.  Any other run is unknown, without its outer punctuation.
+    Runs and base spans are put in one order, so that each run looks at its neighbours only.
     """
 
-    def word(m: Column) -> Column:
+    def run(m: Column) -> Column:
         return F.struct(
             m["start"].alias("start"),
             F.lit(0).alias("type"),
@@ -124,32 +145,34 @@ def _instances(text: Column, base: Column) -> Column:
 
     def instance(events: Column):
         def of(m: Column, k: Column) -> Column:
-            bare = F.regexp_replace(m["value"], r"^[^A-Za-z0-9+]++", "")
-            value = F.regexp_replace(bare, r"[^A-Za-z0-9]+\z", "")
+            bare = F.regexp_replace(m["value"], r"^[^A-Za-z0-9+(]++", "")
+            value = F.regexp_replace(bare, r"[^A-Za-z0-9]++\z", "")
             start = m["start"] + F.length(m["value"]) - F.length(bare)
             after = F.get(events, k + 1)
             opens = (after["type"] == 1) & (after["start"] < m["end"])
+            known = F.substring(m["value"], (after["start"] - m["start"] + 1).cast("int"), (after["end"] - after["start"]).cast("int"))
             before = F.slice(events, F.greatest(k - _REACH + 1, F.lit(1)), F.least(k, F.lit(_REACH)))
             inside = F.exists(before, lambda e: (e["type"] == 1) & (e["end"] > m["start"]))
             return F.struct(
-                (m["type"] == 0).alias("is_word"),
+                (m["type"] == 0).alias("is_run"),
                 start.alias("start"),
                 (start + F.length(value)).alias("end"),
-                value.alias("value"),
+                _normalised(F.when(opens, known).otherwise(value)).alias("value"),
                 _lexical(m["gap"]).alias("pattern"),
                 F.when(opens, after["value"]).alias("kind"),
                 inside.alias("inside"),
+                F.length(value).alias("length"),
+                F.length(_digits(value)).alias("digits"),
             )
 
         return of
 
     def wanted(i: Column) -> Column:
-        like = i["value"].contains("@") | ((F.length(i["value"]) >= 6) & (F.length(_digits(i["value"])) >= 4))
-        return i["is_word"] & ~i["inside"] & i["pattern"].isNotNull() & (i["kind"].isNotNull() | like)
+        sized = (i["length"] >= LEAST_LENGTH) & i["digits"].between(LEAST_DIGITS, MOST_DIGITS)
+        like = sized | (i["value"].contains("@") & (i["digits"] <= MOST_DIGITS))
+        return i["is_run"] & ~i["inside"] & i["pattern"].isNotNull() & (i["kind"].isNotNull() | like)
 
-    ordered = F.sort_array(
-        F.concat(F.transform(matches(text, _WORD, with_gap=True), word), F.transform(base, span))
-    )
+    ordered = F.sort_array(F.concat(F.transform(matches(text, _RUN, with_gap=True), run), F.transform(base, span)))
     seen = bind(ordered, lambda events: F.transform(events, instance(events)))
     return F.transform(
         F.filter(seen, wanted),
@@ -198,8 +221,10 @@ def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id, base spans and all spans (arrays), and the counts.
 
-    A null text counts as empty.  Ids may be null or repeat: rows are told apart by a
-    number of their own.  Other columns are ignored, whatever their names.
+    A null text counts as empty.  Very long texts are read whole.  Ids may be null or repeat:
+    rows are told apart by a number of their own, and equal rows get equal results, as an
+    instance counts once however often it is seen.  An empty table gives no row.  Other
+    columns are ignored, whatever their names.
     """
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
