@@ -9,17 +9,16 @@ documents that a model has not counted set an offset, so that a small trusted se
 not reject what it could not have seen.
 
 Everything is computed inside the row with built-in functions; text is never shuffled.
-The driver holds one number a bucket and fold, a model of fixed size.
+The model is a table of one row, made by Spark and handed to queries as data: no number of
+it is written into a plan.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlens.llm.tables import bind, words
+from auditlens.llm.tables import bind, stored, whole_row, words
 
 BUCKETS = 1 << 16
 #: Trusted documents that the target multinomial is fitted on, at most; chosen by the hash of their id.
@@ -33,14 +32,31 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
 
-def repeat_words(w: Column, window: int = WINDOW) -> Column:
-    """The number of words in windows of `window` words that the text holds twice or more.
+def _joined(h: Column, step: int) -> Column:
+    """The hash of each value with the one `step` places on."""
+    most = F.greatest(F.size(h) - step, F.lit(0))
+    return F.zip_with(F.slice(h, F.lit(1), most), F.slice(h, F.lit(step + 1), most), lambda a, b: F.xxhash64(a, b))
+
+
+def word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
 
-    Windows are compared by hash first; only texts in which two hashes agree are
-    compared by their words.
+def pair_hashes(h: Column) -> Column:
+    """Of neighbouring words, from their hashes."""
+    return _joined(h, 1)
+
+
+def repeat_words(w: Column, pairs: Column | None = None) -> Column:
+    """The number of words in windows of WINDOW = 8 words that the text holds twice or more.
+
+    Windows are compared by hash first, which is put together from those of two and four
+    words (`pairs`, if at hand); only texts in which two hashes agree are compared by their words.
     """
+    window = WINDOW
+    pairs = pair_hashes(word_hashes(w)) if pairs is None else pairs
     starts = F.sequence(F.lit(1), F.size(w) - (window - 1))
-    hashed = F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, window)))
+    hashed = bind(_joined(pairs, 2), lambda fours: _joined(fours, 4))
     suspected = bind(hashed, lambda h: F.size(h) > F.size(F.array_distinct(h)))
 
     def counted(ordered: Column) -> Column:
@@ -70,93 +86,111 @@ def dup_lines(text: Column) -> Column:
     return bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def _bucket(*parts: Column) -> Column:
-    return F.xxhash64(*parts).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-
-
-def _pairs(w: Column, of) -> Column:
-    most = F.greatest(F.size(w) - 1, F.lit(0))
-    return F.zip_with(F.slice(w, 1, most), F.slice(w, 2, most), of)
+def bucket(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def features(w: Column) -> Column:
-    return F.concat(F.transform(w, lambda x: _bucket(x)), _pairs(w, lambda a, b: _bucket(a, b)))
+    """The bucket of every word and of every pair of neighbours."""
+    both = bind(word_hashes(w), lambda h: F.concat(h, pair_hashes(h)))
+    return F.transform(both, lambda x: bucket(x))
 
 
-def log_ratios(raw: list[int], target: list[int]) -> list[float]:
-    """The log ratio of every bucket, target over raw.
+def _tables(counts: DataFrame) -> DataFrame:
+    """One row (model, folds): the log ratio of every bucket, with all of the target and without each fold.
 
-    The target is smoothed towards raw with the weight of one count a bucket in use, so a
-    feature that few trusted documents could show counts as neutral.  Without any target
-    count every ratio is zero.
+    `counts` has (bucket, fold, n); a null fold is raw text only.  The target is smoothed
+    towards raw with the weight of one count a bucket in use, so a feature that few trusted
+    documents could show counts as neutral.  Without any target count every ratio is zero.
     """
-    size, weight = sum(raw), sum(map(bool, raw))
-    shift = math.log(sum(target) + weight) if size else 0.0
-    return [
-        math.log(t + weight * r / size) - math.log(r / size) - shift if r else 0.0
-        for t, r in zip(target, raw, strict=True)
-    ]
+    parts = [F.sum(F.when(F.col("fold") == i, F.col("n")).otherwise(0)).alias(f"t{i}") for i in range(FOLDS)]
+    by_bucket = stored(counts.groupBy("bucket").agg(F.sum("n").alias("r"), *parts), "buckets")
+    whole = sum(F.col(f"t{i}") for i in range(FOLDS))
+    sums = by_bucket.agg(
+        F.sum("r").alias("size"),
+        F.count(F.lit(1)).alias("weight"),
+        F.sum(whole).alias("all"),
+        *[F.sum(f"t{i}").alias(f"s{i}") for i in range(FOLDS)],
+    ).first()  # a few sums
+    size, weight, total = float(sums["size"] or 0), float(sums["weight"]), float(sums["all"] or 0)
+
+    def ratio(t: Column, all_t: float) -> Column:
+        smoothed = t + weight * F.col("r") / size
+        ratio = F.log(smoothed) - F.log(F.col("r") / size) - F.log(F.lit(all_t + weight))
+        return F.when(F.col("r").isNull() | F.lit(total == 0 or size == 0), 0.0).otherwise(ratio)
+
+    cases = [ratio(whole, total), *[ratio(whole - F.col(f"t{i}"), total - float(sums[f"s{i}"] or 0)) for i in range(FOLDS)]]
+    places = by_bucket.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"))
+    rated = places.join(by_bucket, "bucket", "left").select("bucket", *[c.alias(f"c{i}") for i, c in enumerate(cases)])
+    # BUCKETS rows, whatever the corpus.
+    ordered = rated.agg(F.sort_array(F.collect_list(F.struct("bucket", *[f"c{i}" for i in range(FOLDS + 1)]))).alias("x"))
+    return ordered.select(
+        F.col("x.c0").alias("model"), F.array(*[F.col(f"x.c{i + 1}") for i in range(FOLDS)]).alias("folds")
+    )
 
 
 def ratio_model(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text"
-) -> tuple[list[float], float]:
-    """The log ratio of every bucket, trusted over raw, and an offset to be added to scores.
+) -> tuple[DataFrame, float]:
+    """A table of one row with the log ratio of every bucket, trusted over raw, and an offset to be added to scores.
 
     All of docs is counted.  Of the ids in `trusted` at most TRUSTED_ROWS are used.  How
     low good documents score that the model has not counted depends on how many it has.
     So trusted documents are scored by models fitted without their fold, and where
     HELD_OUT_SHARE of them lies below MIN_SCORE the offset lifts that quantile to it.
     """
-    ids = trusted.select(F.col(id_col).alias("id")).where("id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("id"), "id").limit(TRUSTED_ROWS).withColumn("trusted", F.lit(1))
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    key = F.col(f"`{id_col}`").alias("id")
+    ids = trusted.select(key).where("id is not null").distinct()
+    ids = stored(ids.orderBy(F.xxhash64("id"), "id").limit(TRUSTED_ROWS).withColumn("trusted", F.lit(1)), "trusted")
+    narrow = docs.select(key, F.col(f"`{text_col}`").alias("text"))
     # The hinted side has TRUSTED_ROWS rows of one id at most.  Equal texts are in one fold.
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
     marked = narrow.join(F.broadcast(ids), "id", "left").select(
-        "text", F.when(F.col("trusted") == 1, F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")).alias("fold")
+        "text", F.when(F.col("trusted") == 1, fold).alias("fold")
     )
     found = (
         marked.select(words(F.col("text")).alias("w"), "fold")
         .select(F.explode(features(F.col("w"))).alias("bucket"), "fold")
         .groupBy("bucket", "fold")
-        .count()
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    raw, folds = [0] * BUCKETS, [[0] * BUCKETS for _ in range(FOLDS)]
-    for row in found.collect():  # one row a bucket and fold, however large the corpus
-        raw[row["bucket"]] += row["count"]
-        if row["fold"] is not None:
-            folds[row["fold"]][row["bucket"]] += row["count"]
-    target = [sum(x) for x in zip(*folds, strict=True)]
-    if not any(target):
-        return [0.0] * BUCKETS, 0.0
-    without = [log_ratios(raw, [t - x for t, x in zip(target, fold, strict=True)]) for fold in folds]
-    w = F.col("w")
-    held = marked.where("fold is not null").select(words(F.col("text")).alias("w"), "fold")
-    tables = F.array(*[_table(x) for x in without])
-    score = bind(F.get(tables, F.col("fold")), lambda table: _mean(w, table))
-    facts = F.struct(F.size(w).alias("n"), repeat_words(w).alias("repeat"), score.alias("score"))
+    model = stored(_tables(found), "model")
+    held = stored(narrow.join(F.broadcast(ids.drop("trusted")), "id").select("text", fold.alias("fold")), "held-out")
+    rows = held.withColumn("table", F.get(model.select("folds").scalar(), F.col("fold")))
     # As an outer explode, so that the filter does not split the words again for every use.
-    held = held.select(F.explode_outer(F.array(facts)).alias("f")).select("f.*")
-    held = held.where((F.col("n") >= MIN_WORDS) & (100 * F.col("repeat") <= MAX_REPEAT_PERCENT * F.col("n")))
-    low = held.agg(F.percentile("score", HELD_OUT_SHARE)).first()[0]
-    return log_ratios(raw, target), max(0.0, MIN_SCORE - low) if low is not None else 0.0
+    judged = rows.select(_facts(F.col("text")).alias("f")).select(F.explode_outer(F.array("f")).alias("f")).select("f.*")
+    judged = judged.where((F.col("n") >= MIN_WORDS) & (100 * F.col("repeat") <= MAX_REPEAT_PERCENT * F.col("n")))
+    low = judged.agg(F.percentile("score", HELD_OUT_SHARE)).first()[0]
+    return model, max(0.0, MIN_SCORE - low) if low is not None else 0.0
 
 
-def _table(model: list[float]) -> Column:
-    return F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
+def _facts(text: Column, more=lambda w: []) -> Column:
+    """struct<n, repeat, score, ...>: words, repeated words and mean log ratio, from one pass of hashes.
 
+    The ratios are the column `table`, a scalar subquery, which a query may not name in a
+    lambda itself.  It is named once here, so that Spark puts it in place of the
+    column and does not carry it in rows.
+    """
 
-def _mean(w: Column, table: Column) -> Column:
-    pairs = _pairs(w, lambda a, b: F.get(table, _bucket(a, b)))
-    single = F.aggregate(w, F.lit(0.0), lambda total, x: total + F.get(table, _bucket(x)))
-    total = F.aggregate(pairs, single, lambda total, x: total + x)
-    return F.when(F.size(w) > 0, total / (2 * F.size(w) - 1))
+    def mean(h: Column, pairs: Column) -> Column:
+        total = F.aggregate(F.concat(h, pairs), F.lit(0.0), lambda s, x: s + F.get(F.col("table"), bucket(x)))
+        return F.when(F.size(h) > 0, total / (2 * F.size(h) - 1))
 
+    def of(w: Column) -> Column:
+        return bind(
+            word_hashes(w),
+            lambda h: bind(
+                pair_hashes(h),
+                lambda pairs: F.struct(
+                    F.size(w).cast("long").alias("n"),
+                    repeat_words(w, pairs).alias("repeat"),
+                    mean(h, pairs).alias("score"),
+                    *more(w),
+                ),
+            ),
+        )
 
-def mean_ratio(w: Column, model: tuple[list[float], float]) -> Column:
-    """The mean log ratio of a text's features, with the model's offset; null for a text without words."""
-    ratios, offset = model
-    return _mean(w, _table(ratios)) + F.lit(offset)
+    return bind(words(text), of)
 
 
 def quality_verdicts(
@@ -168,30 +202,26 @@ def quality_verdicts(
     without words fails the base rules.  Null and repeated ids are judged like others.
     Other columns are ignored, whatever their names.
     """
-    model = ratio_model(docs, trusted, id_col, text_col)
+    model, offset = ratio_model(docs, trusted, id_col, text_col)
     text = F.col("text")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    w = F.col("w")
-    facts = F.struct(
-        F.size(w).cast("long").alias("n_words"),
-        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        F.coalesce(F.regexp_count(text, F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("long").alias("n_symbols"),
-        dup_lines(text).alias("n_dup_lines"),
-        repeat_words(w).alias("n_repeat_words"),
-        mean_ratio(w, model).alias("score"),
-    )
+    table = model.select("model").scalar().alias("table")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), table)
+    facts = _facts(text, lambda w: [F.length(F.array_join(w, "")).cast("long").alias("word_chars")])
+    symbols = F.coalesce(F.regexp_count(text, F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("long")
     # As an outer explode of one item: a filter that a user puts on plain columns would be moved
     # below the projection, where the words are split again for every use.
-    counted = rows.withColumn("w", words(text)).select("id", F.explode_outer(F.array(facts)).alias("f"))
-    counted = counted.select("id", "f.*")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).select(
+    both = F.struct(facts.alias("f"), symbols.alias("n_symbols"), dup_lines(text).alias("n_dup_lines"))
+    counted = rows.select("id", both.alias("x")).select("id", F.explode_outer(F.array("x")).alias("x"))
+    counted = counted.select("id", "x.f.*", "x.n_symbols", "x.n_dup_lines")
+    failed = (F.col("n") < MIN_WORDS) | (100 * F.col("repeat") > MAX_REPEAT_PERCENT * F.col("n"))
+    judged = counted.withColumn("base_failed", failed).withColumn("score", F.col("score") + F.lit(offset))
+    return judged.select(
         F.col("id").alias(id_col),
-        "n_words",
+        F.col("n").alias("n_words"),
         "word_chars",
         "n_symbols",
         "n_dup_lines",
-        "n_repeat_words",
+        F.col("repeat").alias("n_repeat_words"),
         "base_failed",
         (~F.col("base_failed") & (F.col("score") >= min_score)).alias("kept"),
         "score",
@@ -205,16 +235,16 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """The rows of docs that pass, with their columns as they were.
 
-    The verdict is computed beside the text, so nothing is joined or shuffled.
+    The verdict is computed beside the text, so nothing is joined or shuffled.  Null and
+    empty texts have no words and go; very long texts, repeated rows and rows with null or
+    repeated ids are judged like others.  An empty table stays empty.  Columns may have any
+    names: a row travels as one struct.
     """
-    model = ratio_model(docs, trusted)
-    columns = docs.columns
-    w = F.col("__words")
-    verdict = F.struct(F.size(w).alias("n"), repeat_words(w).alias("repeat"), mean_ratio(w, model).alias("score"))
+    model, offset = ratio_model(docs, trusted)
+    table = model.select("model").scalar().alias("table")
+    rows = docs.select(whole_row(docs).alias("row"), F.col("text").alias("text"), table)
     # An outer explode for the reason given above.
-    judged = docs.withColumn("__words", words(F.col("text"))).select(
-        *columns, F.explode_outer(F.array(verdict)).alias("__verdict")
-    )
-    n, repeat, score = (F.col("__verdict")[c] for c in ("n", "repeat", "score"))
-    passes = (n >= MIN_WORDS) & (100 * repeat <= MAX_REPEAT_PERCENT * n) & (score >= MIN_SCORE)
-    return judged.where(passes).select(*columns)
+    judged = rows.select("row", _facts(F.col("text")).alias("f")).select("row", F.explode_outer(F.array("f")).alias("f"))
+    n, repeat, score = (F.col("f")[c] for c in ("n", "repeat", "score"))
+    passes = (n >= MIN_WORDS) & (100 * repeat <= MAX_REPEAT_PERCENT * n) & (score + F.lit(offset) >= MIN_SCORE)
+    return judged.where(passes).select("row.*")
