@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.llm.components import connected_components
-from auditlens.llm.tables import stored
+from auditlens.llm.tables import row_key, stored, whole_row
 
 BITS = 64
 RADIUS = 2
@@ -151,11 +151,15 @@ def simhash_groups(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group left: the one with the smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """docs with one row of each group left: the one with the smallest id, null ids last.
 
-    Of rows that repeat that id one stays; rows with a null id are not judged and stay.
+    Rows are told apart by all their columns, so rows that repeat an id with different
+    texts are judged each; of wholly equal rows one stays.  Null and empty texts are one
+    group.  Columns may have any names: a row travels as one struct.  Which rows stay is
+    decided on keys and fingerprints; the rows themselves are shuffled once.
     """
-    chosen = simhash_groups(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
-    kept = docs.join(chosen.select(id_col).distinct(), id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    keyed = docs.select(row_key(docs, id_col, text_col).alias("key"), F.col(f"`{text_col}`").alias("text"))
+    chosen = simhash_groups(keyed, "key", "text", shingle).where(F.col("key") == F.col("component_id"))
+    rows = docs.select(row_key(docs, id_col, text_col).alias("key"), whole_row(docs).alias("row"))
+    return rows.join(chosen.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("row.*")

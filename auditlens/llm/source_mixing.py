@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlens.llm.tables import replaced, stored, words
+from auditlens.llm.tables import replaced, row_key, stored, whole_row, words
 from auditlens.operators.ordering import with_position
 
 MOST = 3
@@ -211,16 +211,15 @@ def mixing_copies(
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """docs with every row as many times as the mix takes it, and columns as they were."""
-    columns = docs.columns
-    # One pair of keys that are never null, so that the rows are shuffled once.
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id")
-    taken = (
-        mixing_copies(docs)
-        .where("copies > 0")
-        .groupBy(key, F.col("digest").alias("__digest"))
-        .agg(F.sum("copies").alias("__copies"))
-    )
-    marked = docs.select("*", key, F.xxhash64("text").alias("__digest")).dropDuplicates(["__id", "__digest"])
-    repeated = marked.join(taken, ["__id", "__digest"])
-    return repeated.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+    """docs with every row as many times as the mix takes it, and columns as they were.
+
+    Rows are told apart by all their columns, source included; wholly equal rows are taken
+    as often as all of them are.  Null and empty texts have no words and go.  Rows with null
+    or repeated ids, null sources and very long texts are mixed like others.  An empty table
+    stays empty.  Columns may have any names: a row travels as one struct.
+    """
+    keyed = docs.select(row_key(docs).alias("key"), "text", "source")
+    taken = mixing_copies(keyed, "key").where("copies > 0").groupBy("key").agg(F.sum("copies").alias("copies"))
+    rows = docs.select(row_key(docs).alias("key"), whole_row(docs).alias("row")).dropDuplicates(["key"])
+    repeated = rows.join(taken, "key").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select("row.*")

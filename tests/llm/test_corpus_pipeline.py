@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 
 import brute
 import pytest
-import xxhash
 from conftest import FOLDER, HARD_TEXTS, frame
+from pyspark.sql import functions as F
+from test_quality_score import verdicts
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from auditlens.llm import decontaminate
-from auditlens.llm.quality_rules import BUCKETS, MIN_SCORE
+from auditlens.llm import decontaminate, simhash_dedup, source_mixing
 from auditlens.llm.queries import TOKENIZER
 
 
@@ -32,28 +31,10 @@ def test_stages_keep_the_columns(steps):
         assert rows[0].asDict().keys() == steps[0][0].asDict().keys()
 
 
-def _features(text):
-    w = [x.encode() for x in brute.words(text)]
-    single = [xxhash.xxh64_intdigest(x, 42) for x in w]
-    return [h % BUCKETS for h in single] + [
-        xxhash.xxh64_intdigest(b, h) % BUCKETS for h, b in zip(single, w[1:])
-    ]
-
-
 def test_quality(spark, steps):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
-    raw, target = Counter(), Counter()
-    for r in steps[0]:
-        raw.update(f := _features(r["text"]))
-        if labels.get(r["doc_id"]) == 1:
-            target.update(f)
-    shift = math.log(sum(raw.values()) + BUCKETS) - math.log(sum(target.values()) + BUCKETS)
-    kept = set()
-    for r in steps[0]:
-        f = _features(r["text"])
-        score = sum(math.log(target[b] + 1) - math.log(raw[b] + 1) + shift for b in f) / max(1, len(f))
-        if not brute.quality_counts(r["text"])[5] and score >= MIN_SCORE:
-            kept.add(r["doc_id"])
+    expected = verdicts({r["doc_id"]: r["text"] for r in steps[0]}, labels)
+    kept = {d for d, (_, good) in expected.items() if good}
     assert {r["doc_id"] for r in steps[1]} == kept
     assert 0 < len(kept) < len(steps[0])
 
@@ -120,3 +101,42 @@ def test_hard_and_empty_tables_pass_every_stage(spark, hard, empty, tmp_path):
             docs = corpus_pipeline.stored(stage(spark, docs, folder), name)
             assert docs.columns == columns
         corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+
+
+def test_columns_of_any_name_stay(spark, tmp_path):
+    """Columns named as those used inside, or with a dot, come out as they went in."""
+    folder = str(tmp_path)
+    names = ["__words", "__content", "__id", "a.b", "row", "key", "id", "copies", "w", "f", "size"]
+    long = [f"{HARD_TEXTS[6]} number {i} of many texts " * 1 for i in range(12)]
+    docs = frame(spark, long).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.withColumns({n: F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")) for n in names})
+    docs.selectExpr("doc_id", "1 as quality", "0 as toxic").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "no such words in any text here")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = corpus_pipeline.stored(stage(spark, docs, folder), name)
+        rows = docs.collect()
+        assert docs.columns == columns and rows
+        assert all(r[n] == f"{n} of {r['doc_id']}" for r in rows for n in names)
+
+
+def test_rows_of_two_sources_stay_apart(spark):
+    """Rows with the same id and text in two sources are mixed for each source."""
+    rows = [(1, "a b c", "x"), (1, "a b c", "y"), (2, "d e f", "x"), (None, "g h", "y"), (3, "g h", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").unionAll(
+        spark.createDataFrame([("a b", "z")] * 3, "text string, source string").selectExpr("cast(7 as long)", "text", "source")
+    )
+    taken = Counter()
+    for r in source_mixing.mixed_documents(docs).collect():
+        taken[r["source"]] += len(r["text"].split())
+    targets = brute.targets({"x": 6, "y": 7, "z": 6})
+    assert all(abs(taken[s] - targets[s]) <= 3 for s in targets)
+
+
+def test_one_row_of_a_group_stays(spark):
+    """Repeated and null ids: distinct texts are never lost, copies and equal rows go."""
+    a, b = HARD_TEXTS[6], "some other words that are not like those at all " * 3
+    rows = [(1, a, 0), (1, b, 0), (2, a, 1), (None, b, 1), (None, "third text of its own here", 1), (3, a, 2), (3, a, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    kept = sorted(simhash_dedup.keep_one(docs).collect(), key=str)
+    assert kept == sorted([r for r in docs.collect() if tuple(r) in (rows[0], rows[1], rows[4])], key=str)

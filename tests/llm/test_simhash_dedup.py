@@ -66,5 +66,5 @@ def test_one_of_each_group_stays_with_its_columns(hard, empty, spark):
     assert simhash_dedup.keep_one(empty).count() == 0 and simhash_groups(empty).count() == 0
     doubled = hard.unionAll(hard).unionAll(hard.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
     again = [r["doc_id"] for r in simhash_dedup.keep_one(doubled).collect()]
-    assert sorted(x for x in again if x is not None) == ids and again.count(None) == 1
+    assert sorted(again) == ids  # a copy without an id goes, too
     assert simhash_groups(doubled).count() == 2 * hard.count() + 1
