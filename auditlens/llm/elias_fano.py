@@ -154,3 +154,22 @@ class EliasFano:
             top[open_] = np.where(less, top[open_], middle)
         out[some] = np.minimum(low, end)
         return out
+
+    def decoded(self) -> Decoded:
+        """The same numbers, written out, for a block that answers very many queries."""
+        bits = np.unpackbits(self.high.view(np.uint8), bitorder="little")
+        i = np.arange(self.n)
+        return Decoded(((np.flatnonzero(bits)[: self.n] - i) << self.bits) | self._low(i))
+
+
+class Decoded:
+    """Numbers in memory, read like coded ones."""
+
+    def __init__(self, values: np.ndarray):
+        self.values, self.n = values, len(values)
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        return self.values[i]
+
+    def successor(self, x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return np.clip(np.searchsorted(self.values, x), first, last)

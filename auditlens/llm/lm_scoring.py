@@ -420,7 +420,7 @@ def _answers(dealt: dict[str, np.ndarray], shards: int, total: int, discounts: t
         for part in parts:
             for i, shard in enumerate(part.column("shard").to_pylist()):
                 built = _trie(shard, part.column("body")[i].as_py(), dealt, shards, total, discounts)
-                trie = ngram_trie.Trie(built) if built else None
+                trie = ngram_trie.Trie(built, decode=True) if built else None  # it answers every block
                 blocks, bodies = part.column("blocks")[i].as_py(), part.column("messages")[i].values
                 for block, body in zip(blocks, bodies, strict=True):
                     one, two, _, pair, three, _ = _opened(body.as_py())

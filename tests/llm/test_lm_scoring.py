@@ -120,7 +120,7 @@ def test_coded_numbers(n, largest):
     rng = np.random.default_rng(n)
     values = np.sort(rng.integers(0, largest, n))
     ef = elias_fano.EliasFano("x", elias_fano.views(elias_fano.flat(elias_fano.encode("x", values))))
-    assert (ef[np.arange(n)] == values).all()
+    assert (ef[np.arange(n)] == values).all() and (ef.decoded().values == values).all()
     asked = np.concatenate([values, values + 1, rng.integers(0, 2 * largest, 300)])
     none = np.zeros(len(asked), dtype=np.int64)
     assert (ef.successor(asked, none, none + n) == np.searchsorted(values, asked)).all()
@@ -148,6 +148,9 @@ def test_trie_in_a_mapped_file(tmp_path):
     trie = ngram_trie.Trie(np.memmap(path, np.uint8, "r"))
     a, b = (x.ravel().astype(np.int64) for x in np.meshgrid(np.arange(50), np.arange(50)))
     own2, rest2, rest3, own3 = trie.query(a, b, np.arange(2500).repeat(50), np.tile(np.arange(50), 2500))
+    written_out = ngram_trie.Trie(path.read_bytes(), decode=True)
+    again = written_out.query(a, b, np.arange(2500).repeat(50), np.tile(np.arange(50), 2500))
+    assert all((x == y).all() for x, y in zip(again, (own2, rest2, rest3, own3)))
     of = {p: i for i, p in enumerate(pairs)}
     for k, p in enumerate(zip(a.tolist(), b.tolist())):
         want = (n2[of[p]] - 0.5) / total[p[0]] if p in of else 0
