@@ -199,6 +199,11 @@ def agent_status(agents: DataFrame, events: DataFrame) -> DataFrame:
         F.max_by("action_type", F.struct("ts", F.col("id"))).alias("last_control"),
         F.max("ts").alias("changed_at"),
     )
+    return with_status(agents, last)
+
+
+def with_status(agents: DataFrame, last: DataFrame) -> DataFrame:
+    """Registered agents with the status that their last control event (id, last_control, changed_at) gives."""
     table = F.create_map(*[F.lit(x) for pair in CONTROL_STATUS.items() for x in pair])
     return agents.join(last, "id", "left").select(
         "id",

@@ -78,9 +78,9 @@ def append_history(rows: DataFrame, root: str) -> int:
     return CommittedTable(rows.sparkSession, root).append(rows.select("project", "scan_id", "scanned_at", "passing", "total"))
 
 
-def read_history(spark: SparkSession, root: str, as_of: int | None = None) -> DataFrame:
+def read_history(spark: SparkSession, root: str, as_of: int | None = None, schema=HISTORY_SCHEMA) -> DataFrame:
     """The history, or what it was at a version."""
-    return CommittedTable(spark, root).read(HISTORY_SCHEMA, as_of)
+    return CommittedTable(spark, root).read(schema, as_of)
 
 
 def compliance_history(history: DataFrame, action: str = "list") -> DataFrame:

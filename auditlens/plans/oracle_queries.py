@@ -276,3 +276,17 @@ ORACLE: dict[str, str] = {
     "scan_id DESC) AS rn, count(*) OVER (PARTITION BY project) AS scans FROM history) SELECT project, scan_id, scanned_at, "
     f"passing || '/' || total AS score, {_RATIO} AS score_ratio, scans FROM n WHERE rn = 1",
 }
+_MESSAGE = "CASE WHEN {} THEN 'Chain intact' ELSE 'Chain broken - possible tampering detected' END AS message"
+ORACLE |= {
+    "a4_scan_changed": ORACLE["a4_scan_code_table"],
+    "a8_append_by_heads": ORACLE["a8_append_control_event"],
+    "w6_truncated_log": f"WITH {o.EVENTS}, r AS (SELECT agent_id, CAST(substr(agent_id, 7) AS BIGINT) % 3 = 0 AS cut, "
+    "row_number() OVER (PARTITION BY agent_id ORDER BY ts DESC, id DESC) AS rn FROM agent_events), "
+    "v AS (SELECT agent_id AS scope, count(*) FILTER (NOT (cut AND rn = 1)) AS events, count(*) AS anchored, "
+    f"NOT bool_or(cut) AS valid FROM r GROUP BY agent_id) SELECT *, {_MESSAGE.format('valid')} FROM v",
+    "w7_agent_status_online": ORACLE["w4_agent_status"],
+    "l1_event_page_log": f"WITH {o.EVENTS}, page AS (SELECT * FROM agent_events ORDER BY ts DESC, id DESC "
+    f"LIMIT 50 OFFSET 470) SELECT * EXCLUDE (hash) FROM (SELECT {_EVENT_VIEW} FROM page)",
+    "s3_stream_replayed": ORACLE["s2_stream_agent_stats"],
+    "x7_history_as_of": ORACLE["x4_history_list"].replace(" FROM history ", " FROM history WHERE scan_id % 3 <> 0 "),
+}

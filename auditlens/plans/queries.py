@@ -17,16 +17,18 @@ from auditlens.operators import (
     projects,
     remediation,
     report,
+    rescan,
     risk,
     rulepacks,
     screen,
     signals,
 )
+from auditlens.operators.chain_log import ChainLog
 from auditlens.plans import corpus, oracle
 from auditlens.session import cut_lineage, remove_folder, shared_folder
 from auditlens.sources import python_files, sinks, tables
 from auditlens.sources.binary import decode_source
-from auditlens.streaming import agent_totals, screening
+from auditlens.streaming import agent_status, agent_totals, screening
 
 Query = Callable[[SparkSession, str], DataFrame]
 UNIT = ["project", "path"]
@@ -172,6 +174,34 @@ def a8(spark: SparkSession, d: str) -> DataFrame:
     return _appended(spark, d).select(*shown)
 
 
+def _log(spark: SparkSession, d: str, path: str) -> ChainLog:
+    """The event log appended in two parts, the earlier half of its time first."""
+    log, events = ChainLog(spark, path, KEY), corpus.agent_events(spark, d).drop("chain_hash")
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    middle = events.agg(F.floor((F.min(at) + F.max(at)) / 2)).first()[0]
+    for part in (at <= middle, at > middle):
+        log.append(events.where(part))
+    return log
+
+
+def a8_heads(spark: SparkSession, d: str) -> DataFrame:
+    """The log chained append by append, from heads alone, pause and resume requests included."""
+    shown = ("id", "agent_id", "action_type", "human_summary", "raw_action", "ts", "risk_score", "chain_hash")
+    write = lambda path: _log(spark, d, path).append(_control_events(spark, d))
+    return _round_trip(spark, write, lambda path: ChainLog(spark, path, KEY).events()).select(*shown)
+
+
+def a4_changed(spark: SparkSession, d: str) -> DataFrame:
+    """A scan of all units after one of half of them, whose results are looked up."""
+    units = corpus.code_corpus(spark, d)
+
+    def write(path: str) -> None:
+        rescan.scan_changed(units.where("doc_id % 2 = 0"), path, UNIT)
+
+    both = _round_trip(spark, write, lambda path: rescan.scan_changed(units, path, UNIT))
+    return _flat_scan(both, UNIT)
+
+
 def b1(spark: SparkSession, d: str) -> DataFrame:
     return signals.detect_framework(_code(spark, d)).select(*UNIT, _joined("frameworks"))
 
@@ -397,6 +427,29 @@ def w5(spark: SparkSession, d: str) -> DataFrame:
     return intact.unionByName(chain.verify_agents(edited, KEY).withColumn("log", F.lit("edited")))
 
 
+def w6(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts on a log that has lost the last event of every third agent."""
+
+    def read(path: str) -> DataFrame:
+        log = ChainLog(spark, path, KEY)
+        third = F.substring("agent_id", 7, 20).cast("long") % 3 == 0
+        last = log.heads().where(third).select("agent_id", F.col("last_ts").alias("ts"), F.col("last_id").alias("id"))
+        return log.verify(log.events().join(last, ["agent_id", "ts", "id"], "left_anti"))
+
+    return _round_trip(spark, lambda path: _log(spark, d, path), read)
+
+
+def w7(spark: SparkSession, d: str) -> DataFrame:
+    """The status of every agent, kept while events arrive."""
+    registry = corpus.agents(spark, d)
+
+    def write(out: str) -> None:
+        arriving = corpus.shape_events(_stream(spark, d, "events"))
+        agent_status.start_agent_status(arriving, f"{out}/rows", f"{out}/state", once=True).awaitTermination()
+
+    return _round_trip(spark, write, lambda out: agent_status.read_agent_status(spark, f"{out}/rows", registry))
+
+
 def w4(spark: SparkSession, d: str) -> DataFrame:
     return agents.agent_status(corpus.agents(spark, d), corpus.agent_events(spark, d))
 
@@ -409,6 +462,12 @@ def l1_deep(spark: SparkSession, d: str) -> DataFrame:
     return agents.event_page(corpus.agent_events(spark, d), limit=50, offset=9_970)
 
 
+def l1_log(spark: SparkSession, d: str) -> DataFrame:
+    """A page of the stored log, from the files that its index names."""
+    read = lambda path: ChainLog(spark, path, KEY).page(50, 470)
+    return _round_trip(spark, lambda path: _log(spark, d, path), read).drop("hash")
+
+
 def l1_repeated(spark: SparkSession, d: str) -> DataFrame:
     """A page that begins and ends among events of one time and id."""
     events = corpus.agent_events(spark, d).withColumns(
@@ -456,6 +515,20 @@ def s2(spark: SparkSession, d: str) -> DataFrame:
     return totals.withColumn("total_cost", F.round("total_cost", 4))
 
 
+def s3(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of a stream in which every event arrives twice."""
+
+    def write(out: str) -> None:
+        twice = [corpus.shape_events(_stream(spark, d, "events")) for _ in range(2)]
+        totals = agent_totals.start_agent_stats(
+            twice[0].unionAll(twice[1]), f"{out}/rows", f"{out}/state", once=True, delay="3650 days"
+        )
+        totals.awaitTermination()
+
+    totals = _round_trip(spark, write, lambda out: agent_totals.read_agent_stats(spark, f"{out}/rows"))
+    return totals.withColumn("total_cost", F.round("total_cost", 4))
+
+
 def x1(spark: SparkSession, d: str) -> DataFrame:
     return rulepacks.scan_gdpr(_code(spark, d), UNIT).select(*UNIT, "topic", "status")
 
@@ -474,6 +547,19 @@ def x4(spark: SparkSession, d: str) -> DataFrame:
     return history.history_list(corpus.scan_history(spark, d))
 
 
+def x7(spark: SparkSession, d: str) -> DataFrame:
+    """The history as it was before the last commit to it."""
+    scans = corpus.scan_history(spark, d)
+
+    def write(path: str) -> None:
+        for part in ("scan_id % 3 <> 0", "scan_id % 3 = 0"):
+            history.append_history(scans.where(part), path)
+
+    return history.history_list(
+        _round_trip(spark, write, lambda path: history.read_history(spark, path, as_of=1, schema=scans.schema))
+    )
+
+
 def x5(spark: SparkSession, d: str) -> DataFrame:
     return history.history_trend(corpus.scan_history(spark, d))
 
@@ -501,6 +587,8 @@ QUERIES: dict[str, Query] = {
     "a6_json_sink": a6,
     "a7_report_sink": a7,
     "a8_append_control_event": a8,
+    "a8_append_by_heads": a8_heads,
+    "a4_scan_changed": a4_changed,
     "b1_detect_framework": b1,
     "b2_detect_trust_layer": b2,
     "b3_check_injection": b3,
@@ -538,18 +626,23 @@ QUERIES: dict[str, Query] = {
     "w3_build_chain": w3,
     "w4_agent_status": w4,
     "w5_verify_after_append": w5,
+    "w6_truncated_log": w6,
+    "w7_agent_status_online": w7,
     "l1_event_page": l1,
     "l1_event_page_repeated": l1_repeated,
     "l1_event_page_deep": l1_deep,
+    "l1_event_page_log": l1_log,
     "l2_article_sort": l2,
     "l3_top_findings": l3,
     "l4_top_patterns": l4,
     "s1_stream_screen": s1,
     "s2_stream_agent_stats": s2,
+    "s3_stream_replayed": s3,
     "x1_gdpr_rules": x1,
     "x2_bias_rules": x2,
     "x3_validate_actions": x3,
     "x4_history_list": x4,
     "x5_history_trend": x5,
     "x6_history_score": x6,
+    "x7_history_as_of": x7,
 }
