@@ -135,6 +135,9 @@ ORACLE: dict[str, str] = {
     "a2_scan_file_read": f"WITH {o.CORPUS} SELECT project, path, {_LINES} AS lines FROM corpus",
     "a1_project_tree": "SELECT source AS project, 'pkg/f' || doc_id || '.py' AS path, CAST(NULL AS VARCHAR) AS error "
     "FROM documents WHERE doc_id % 10 <> 3",
+    "a1_source_tree": f"WITH {o.CORPUS} SELECT project, 'pkg/f' || doc_id || '.py' AS path, "
+    f"octet_length(encode(code)) AS bytes, {_LINES} AS lines, CAST(NULL AS VARCHAR) AS error "
+    "FROM corpus WHERE doc_id % 10 <> 3",
     "a2_project_tree_lines": f"WITH {o.CORPUS} SELECT project, 'pkg/f' || doc_id || '.py' AS path, {_LINES} AS lines "
     "FROM corpus WHERE doc_id % 10 <> 3",
     "a3_read_tolerant_utf8": "SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) "

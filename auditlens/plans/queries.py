@@ -28,6 +28,7 @@ from auditlens.plans import corpus, oracle
 from auditlens.session import cut_lineage, remove_folder, shared_folder
 from auditlens.sources import python_files, sinks, tables
 from auditlens.sources.binary import decode_source
+from auditlens.sources.tree_source import read_tree
 from auditlens.streaming import agent_status, agent_totals, screening
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +114,18 @@ def a2_tree(spark: SparkSession, d: str) -> DataFrame:
     return found.select("project", "path", F.col("lines").cast("long").alias("lines"))
 
 
+def a1_source(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus written as trees, and all of it read back by one query through the data source."""
+    kept = F.when(F.col("doc_id") % 10 == 3, "node_modules/f").otherwise("pkg/f")
+    files = corpus.code_corpus(spark, d).select(
+        F.concat("project", F.lit("/"), kept, F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), "code"
+    )
+    found = _round_trip(
+        spark, lambda folder: sinks.write_files(files, folder), lambda folder: read_tree(spark, folder)
+    )
+    return found.select("project", "path", "bytes", F.col("lines").cast("long").alias("lines"), "error")
+
+
 def a3(spark: SparkSession, d: str) -> DataFrame:
     broken = F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8"), F.unhex(F.lit("C328E282410D0A42")))
     files = corpus.table(spark, d, "documents").select("doc_id", broken.alias("content"))
@@ -578,6 +591,7 @@ CHECK_IDS = {name: f"r{i}_{name}" for i, name in enumerate(findings.CHECKS, star
 QUERIES: dict[str, Query] = {
     "verdicts_by_role": verdicts_by_role,
     "a1_scan_project_files": a1,
+    "a1_source_tree": a1_source,
     "a2_scan_file_read": a2,
     "a1_project_tree": a1_tree,
     "a2_project_tree_lines": a2_tree,
