@@ -2,9 +2,9 @@
 
 Each directory below the root is a project.  Nothing is listed before the query runs;
 then the tree is listed once, filters on `project` and `path` decide which directories
-are entered, and files are put into partitions of about equal bytes.  At most
-LISTED_NAMES names are held while that is done: directories beyond them are left to the
-tasks, which walk them on their own, so that no tree is too large.
+are entered, and files are put into partitions of about equal bytes.  Once LISTED_NAMES
+names are held, no further directory is listed in advance: the ones left are walked by the
+tasks, so what the driver holds is bounded by that number and by one directory's files.
 """
 
 from __future__ import annotations
