@@ -12,29 +12,30 @@ from auditlens.session import remove_folder
 BATCH, WHOLE = "batch", "whole"
 #: Every so many batches the newest row of every agent is written to one folder.
 COMPACT_EVERY = 16
-#: How late, by event time, an event may come (again) and still be told from a new one.
-DELAY = "7 days"
 
 
-def once_each(events: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Events without repetitions of an id that arrive within `delay`; later ones are dropped as too late.
+def once_each(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """Events without repetitions of an id, whatever the order they arrive in.
 
-    State is one entry per id, kept for `delay`.  Events without an id are told apart by all
-    their fields.
+    State is one entry per id.  With a `delay` (by event time, such as "7 days") an entry is kept
+    for that long only, and events that come later than it are dropped.  Events without an
+    id are told apart by all their fields.
     """
     whole = F.sha2(F.to_json(F.struct(*events.columns)), 256)
     key = F.coalesce(F.concat(F.lit("i"), F.col("id").cast("string")), whole)
     timed = events.withColumns({"__at": F.col("ts").cast("timestamp"), "__key": key})
+    if delay is None:
+        return timed.dropDuplicates(["__key"]).drop("__at", "__key")
     return timed.withWatermark("__at", delay).dropDuplicatesWithinWatermark(["__key"]).drop("__at", "__key")
 
 
-def stream_agent_stats(events: DataFrame, delay: str = DELAY) -> DataFrame:
+def stream_agent_stats(events: DataFrame, delay: str | None = None) -> DataFrame:
     """State of the totals is one row per agent; there is no window, so none expires."""
     return agent_stats(once_each(events, delay))
 
 
 def start_agent_stats(
-    events: DataFrame, path: str, checkpoint: str, once: bool = False, delay: str = DELAY
+    events: DataFrame, path: str, checkpoint: str, once: bool = False, delay: str | None = None
 ) -> StreamingQuery:
     """Add, per batch, the new totals of the agents that the batch changed.
 
