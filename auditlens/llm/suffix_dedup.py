@@ -47,6 +47,8 @@ _PLACES = SIZE - GRAM + 1
 #: Bytes that numpy looks at together, and that one run of suffixes or hashes is made from.
 STEP_BYTES = 1 << 20
 RUN_BYTES = 8 << 20
+#: Suffixes that are compared together; a larger group is one of its own.
+TOGETHER = 50_000
 #: Anchors that a bucket of the first exchange is meant for.
 BUCKET_ANCHORS = 1 << 20
 
@@ -92,7 +94,7 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
 
     def either(v: np.ndarray, p: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
         right = v[shift:] < v[:-shift]
-        return np.where(right, v[shift:], v[:-shift]), np.where(right, p[shift:], p[:-shift])
+        return np.minimum(v[shift:], v[:-shift]), np.where(right, p[shift:], p[:-shift])
 
     have = 1
     while have * 2 <= width:
@@ -221,23 +223,34 @@ def shared_prefix(a: bytes, b: bytes, start: int = 0) -> int:
     return at
 
 
+def byte_rows(strings: list[bytes]) -> np.ndarray:
+    """The strings as rows of a matrix of bytes, shorter ones with zero bytes after them."""
+    width = max(1, max(map(len, strings), default=1))
+    return np.array(strings, dtype=f"S{width}").view(np.uint8).reshape(len(strings), width)
+
+
+def shared_with_before(rows: np.ndarray) -> np.ndarray:
+    """How many bytes each row has in common with the row before; none for the first."""
+    found = np.zeros(len(rows), dtype=np.int64)
+    if len(rows) > 1:
+        differs = rows[1:] != rows[:-1]
+        at = differs.argmax(axis=1)
+        found[1:] = np.where(differs[np.arange(len(at)), at], at, rows.shape[1])
+    return found
+
+
 def write_run(suffixes: list[Suffix]) -> bytes:
     """A sorted run, front-coded: what a suffix has in common with the one before is not repeated."""
-    shared, rights, lefts = [], [], []
-    before = b""
-    for right, left, _, _ in suffixes:
-        n = shared_prefix(before, right)
-        shared.append(n)
-        rights.append(right[n:])
-        lefts.append(left)
-        before = right
+    rights, lefts = [s[0] for s in suffixes], [s[1] for s in suffixes]
+    sizes = np.array([len(r) for r in rights], dtype=np.int64)
+    shared = np.minimum(shared_with_before(byte_rows(rights)), np.minimum(sizes, np.append(0, sizes)[:-1]))
     return pack(
-        np.array(shared, dtype=np.uint8),
-        np.array([len(r) for r in rights], dtype=np.uint8),
+        shared.astype(np.uint8),
+        (sizes - shared).astype(np.uint8),
         np.array([len(x) for x in lefts], dtype=np.uint8),
         np.array([s[2] for s in suffixes], dtype=np.int64),
         np.array([s[3] for s in suffixes], dtype=np.int64),
-        text=b"".join([*rights, *lefts]),
+        text=b"".join([*[r[n:] for r, n in zip(rights, shared.tolist())], *lefts]),
     )
 
 
@@ -294,14 +307,16 @@ def _runs(frequent: np.ndarray):
         found: list[Suffix] = []
         for step in _steps(_units(rows()), SIZE):
             unit, first, last, anchor, _ = anchors(step, frequent)
-            edges = np.searchsorted(unit, np.arange(len(step) + 1))
+            row_of, bases = (np.array([u[i] for u in step], dtype=np.int64) for i in range(2))
+            here = sorted({u[0] for u in step})
+            sought = np.concatenate([wanted[row][1] + (row - here[0] << 40) for row in here])
+            candidates = np.flatnonzero(np.isin(first + bases[unit] + (row_of[unit] - here[0] << 40), sought))
+            edges = np.searchsorted(unit[candidates], np.arange(len(step) + 1))
             for u, (row, base, text) in enumerate(step):
-                lo, hi = int(edges[u]), int(edges[u + 1])
-                key, places = wanted[row]
-                some = np.flatnonzero(np.isin(first[lo:hi] + base, places)) + lo
+                some, key = candidates[edges[u] : edges[u + 1]], wanted[row][0]
                 for a, b, p in zip(first[some].tolist(), last[some].tolist(), anchor[some].tolist()):
                     found.append((text[p : b + SIZE], text[a:p], key, base + p))
-            for row in {u[0] for u in step} - {step[-1][0]}:  # the last one may go on in the next step
+            for row in here[:-1]:  # the last one may go on in the next step
                 wanted[row] = None
             if len(found) > RUN_BYTES // 32:
                 yield close(found)
@@ -315,19 +330,43 @@ def _runs(frequent: np.ndarray):
 # 3. Exchange and merge.
 
 
+def cut_run(block: bytes, splitters: list[int]) -> Iterator[tuple[int, bytes]]:
+    """(number, run) of the parts of a run between the splitters.
+
+    A part begins where the first seven bytes change, so only suffixes that have fewer
+    in common with the one before are looked at; the others go over as they are coded.
+    """
+    (shared, sizes, left_sizes, keys, places), text = unpack(block)
+    right_at = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    left_at = right_at[-1] + np.append(0, np.cumsum(left_sizes, dtype=np.int64))
+    changes = np.flatnonzero(shared < 7)
+    head, heads = b"", []
+    for n, at, size in zip(shared[changes].tolist(), right_at[changes].tolist(), sizes[changes].tolist()):
+        head = head[:n] + text[at : at + min(size, 7 - n)]
+        heads.append(head)
+    numbers = [prefix_number(h) for h in heads]
+    cuts = [*[bisect_left(numbers, x) for x in splitters], len(heads)]
+    begin = 0
+    for part, end in enumerate(cuts):
+        if end > begin:
+            lo, hi = int(changes[begin]), int(changes[end]) if end < len(changes) else len(shared)
+            common = int(shared[lo])
+            some, tails = shared[lo:hi].copy(), sizes[lo:hi].copy()
+            some[0], tails[0] = 0, common + int(sizes[lo])
+            rights = heads[begin][:common] + text[right_at[lo] : right_at[hi]]
+            lefts = text[left_at[lo] : left_at[hi]]
+            yield part, pack(some, tails, left_sizes[lo:hi], keys[lo:hi], places[lo:hi], text=rights + lefts)
+        begin = end
+
+
 def _pieces(splitters: list[int]):
     def batch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for block in part.column(0):
-                run = [s for _, s in read_run(block.as_py())]
-                numbers = [prefix_number(s[0]) for s in run]
-                cuts = [0, *[bisect_left(numbers, x) for x in splitters], len(run)]
-                for n, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-                    if hi > lo:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([n], pa.int64()), pa.array([write_run(run[lo:hi])], pa.binary())],
-                            names=["piece", "block"],
-                        )
+                for n, piece in cut_run(block.as_py(), splitters):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([n], pa.int64()), pa.array([piece], pa.binary())], names=["piece", "block"]
+                    )
 
     return batch
 
@@ -392,72 +431,74 @@ def merge_runs(runs: list[Iterator[tuple[int, Suffix]]]) -> Iterator[tuple[int,
 # 4. Strings of suffixes with a common gram.
 
 
-def _repeats(group: list[Suffix]) -> Iterator[tuple[int, int, int]]:
-    """(key, first, last): byte ranges of strings that a document with a smaller key has, too."""
-    by_text: dict[tuple[bytes, bytes], list[Suffix]] = {}
-    for s in group:
-        by_text.setdefault(s[:2], []).append(s)
-    lowest: dict[bytes, int] = {}
-    several = len(by_text) > 1
-    for (right, left), same in by_text.items():
-        least = min(s[2] for s in same)
-        for s in same:
-            if s[2] > least:
-                yield s[2], s[3] - len(left), s[3] + len(right)
-        if several:
-            whole = left + right
-            for i in range(len(whole) - SIZE + 1):
-                string = whole[i : i + SIZE]
-                if lowest.get(string, least) >= least:
-                    lowest[string] = least
-    if not several:
-        return
-    for (right, left), same in by_text.items():
-        whole, least = left + right, min(s[2] for s in same)
-        hits = [i for i in range(len(whole) - SIZE + 1) if lowest[whole[i : i + SIZE]] < least]
-        for s in same:
-            if s[2] == least:
-                for i in hits:
-                    yield s[2], s[3] - len(left) + i, s[3] - len(left) + i + SIZE
-
+def repeats(common: list[int], suffixes: list[Suffix]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first, last): byte ranges of strings that a document with a smaller key has, too.
 
-def _ranges(found: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
-    """Ranges of each key, joined where they touch."""
-    key, first, last = (np.array([f[i] for f in found], dtype=np.int64) for i in range(3))
-    yield from range_batches(key, first, last)
+    The suffixes are whole groups in their merged order; `common` counts the bytes each
+    shares with the one before.  Strings that are equal have their anchor at the same
+    offset, with equal bytes on both sides of it.  For each offset the suffixes are
+    classed by the bytes to the right, which are neighbours already, and by those to the
+    left, sorted backwards.  All strings of a suffix hold its gram, so that what they
+    remove is one range.
+    """
+    count = len(suffixes)
+    rights = np.array([len(s[0]) for s in suffixes], dtype=np.int64)
+    lefts = np.array([len(s[1]) for s in suffixes], dtype=np.int64)
+    key = np.array([s[2] for s in suffixes], dtype=np.int64)
+    place = np.array([s[3] for s in suffixes], dtype=np.int64)
+    shared = np.array(common, dtype=np.int64)
+    rows = byte_rows([s[1][::-1] for s in suffixes])
+    backwards = np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")
+    left_shared = shared_with_before(rows[backwards])
+    least, most = np.full(count, SIZE, dtype=np.int64), np.full(count, -1, dtype=np.int64)
+    left_class = np.empty(count, dtype=np.int64)
+    for offset in range(_PLACES):
+        some = np.flatnonzero((lefts >= offset) & (rights >= SIZE - offset))
+        if len(some) < 2:
+            continue
+        left_class[backwards] = np.cumsum(left_shared < offset)
+        both = np.cumsum(shared < SIZE - offset)[some] * (count + 1) + left_class[some]
+        order = np.argsort(both)
+        both, some = both[order], some[order]
+        opens = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        lowest = np.repeat(np.minimum.reduceat(key[some], opens), np.diff(np.append(opens, len(some))))
+        hits = some[key[some] > lowest]
+        least[hits] = np.minimum(least[hits], offset)
+        most[hits] = offset
+    found = np.flatnonzero(most >= 0)
+    return key[found], place[found] - most[found], place[found] - least[found] + SIZE
 
 
 def range_batches(key: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((first, key))
-    key, first, last = key[order], first[order], last[order]
-    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist() if len(key) else []
-    keys, firsts, lasts = [], [], []
-    for lo, hi in zip(edges, [*edges[1:], len(key)]):
-        a, b = joined_ranges(first[lo:hi], last[lo:hi])
-        keys.append(np.full(len(a), key[lo]))
-        firsts.append(a)
-        lasts.append(b)
-    if keys:
-        columns = [pa.array(np.concatenate(x)) for x in (keys, firsts, lasts)]
-        yield pa.RecordBatch.from_arrays(columns, names=["key", "first", "last"])
+    """Ranges of each key, joined where they touch."""
+    if not len(key):
+        return
+    known, rank = np.unique(key, return_inverse=True)
+    apart = int(last.max()) + 2  # each key's ranges in a stretch of its own
+    first, last = joined_ranges(first + rank * apart, last + rank * apart)
+    rank = first // apart
+    columns = [known[rank], first - rank * apart, last - rank * apart]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "first", "last"])
 
 
 def _merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def emit(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int, int]] = []
-        group: list[Suffix] = []
+        common: list[int] = []
+        held: list[Suffix] = []
+        begin = 0  # of the last group
         for n, suffix in merge_runs([read_run(b) for b in blocks]):
             if n < GRAM:
-                if len(group) > 1:
-                    found.extend(_repeats(group))
-                group = []
-                if len(found) > 200_000:
-                    yield from _ranges(found)
-                    found = []
-            group.append(suffix)
-        if len(group) > 1:
-            found.extend(_repeats(group))
-        yield from _ranges(found)
+                if len(held) - begin == 1:  # a gram that no other suffix begins with
+                    common.pop()
+                    held.pop()
+                if len(held) > TOGETHER:
+                    yield from range_batches(*repeats(common, held))
+                    common, held = [], []
+                begin = len(held)
+            common.append(n)
+            held.append(suffix)
+        if len(held) > 1:
+            yield from range_batches(*repeats(common, held))
 
     piece, blocks = None, []
     for part in parts:

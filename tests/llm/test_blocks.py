@@ -32,7 +32,7 @@ def test_rans_decodes_parts_and_notices_damage():
     rng = np.random.default_rng(1)
     ids = (rng.zipf(1.3, 200_000) % 50_000).astype(np.uint32)
     coder = Coder(quantise(np.bincount(ids, minlength=50_257)))
-    block = coder.encode(ids)
+    block = coder.encode(ids, 512)
     assert len(block) < 1.9 * len(ids)
     assert coder.decode(block, [1]).tolist() == ids[512 * 128 : 2 * 512 * 128].tolist()
     for at in (5, 60, len(block) // 2, len(block) - 1):
@@ -74,6 +74,47 @@ def test_loser_tree_merges_with_common_prefixes(runs):
         before = s[0]
 
 
+@QUICK
+@given(st.lists(st.tuples(st.text("ab", min_size=7, max_size=12), st.integers(0, 9)), max_size=30), st.lists(st.text("ab", min_size=7, max_size=9), max_size=4))
+def test_cut_runs_hold_all_suffixes(found, splits):
+    run = sorted({(r.encode(), b"left", key, at) for at, (r, key) in enumerate(found)})
+    numbers = sorted({suffix_dedup.prefix_number(s.encode()) for s in splits})
+    parts = dict(suffix_dedup.cut_run(suffix_dedup.write_run(run), numbers))
+    for n, part in parts.items():
+        some = [s for _, s in suffix_dedup.read_run(part)]
+        assert some == [s for s in run if sum(x <= suffix_dedup.prefix_number(s[0]) for x in numbers) == n]
+    assert sum(len(list(suffix_dedup.read_run(p))) for p in parts.values()) == len(run)
+
+
+@QUICK
+@given(st.data())
+def test_repeats_are_those_of_a_search_for_every_string(data):
+    gram = b"0123456789abcdef"
+    texts = data.draw(st.lists(st.tuples(st.binary(min_size=34, max_size=34), st.binary(min_size=34, max_size=34)), max_size=3))
+    texts = [(a, b, *data.draw(st.tuples(st.integers(0, 34), st.integers(0, 34)))) for a, b in texts * 4]
+    group = []
+    for n, (before, after, cut, keep) in enumerate(texts):
+        left = before[cut:]
+        right = gram + after[:keep]
+        if len(left) + len(right) >= 50:
+            group.append((right, left, data.draw(st.integers(0, 4)), 1000 * n))
+    group.sort()
+    common = [0, *[suffix_dedup.shared_prefix(a[0], b[0]) for a, b in zip(group, group[1:])]][: len(group)]
+    strings: dict = {}
+    for right, left, key, _ in group:
+        whole = left + right
+        for i in range(len(whole) - 49):
+            place = (len(left) - i, whole[i : i + 50])
+            strings[place] = min(key, strings.get(place, key))
+    wanted = []
+    for right, left, key, at in group:
+        whole = left + right
+        hits = [i for i in range(len(whole) - 49) if strings[len(left) - i, whole[i : i + 50]] < key]
+        if hits:
+            wanted.append((key, at - len(left) + hits[0], at - len(left) + hits[-1] + 50))
+    assert sorted(zip(*[x.tolist() for x in suffix_dedup.repeats(common, group)])) == sorted(wanted)
+
+
 @QUICK
 @given(st.lists(st.integers(0, 5), min_size=40, max_size=200), st.integers(2, 40))
 def test_least_of_neighbours(values, width):
