@@ -24,7 +24,7 @@ from collections.abc import Sequence
 import numpy as np
 
 PRECISION = 20
-LANES = 512
+LANES = 2048
 ROWS = 128
 _LOW = 1 << 31
 _MAGIC = b"ILR1"

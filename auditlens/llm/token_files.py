@@ -9,10 +9,8 @@ of its documents, and their tokens coded by `rans`.  Blocks do not depend on eac
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +24,10 @@ from auditlens.llm.tables import shuffle_partitions, stored
 from auditlens.session import shared_folder
 
 #: Tokens after which a block is closed; a longer document makes a longer block.
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 20
 #: Pieces of text whose ids a worker remembers.
 REMEMBERED = 1_200_000
 
-_WORD_AND_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*,.:;?|]+)")
-_ONE_WORD = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[!#$%&*,.:;?|]+)")
-#: Byte-level vocabularies spell a byte as its Latin-1 letter, or from U+0100 on where that is no visible letter.
-_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTE_LETTERS = dict(zip((b for b in range(256) if b not in _VISIBLE), range(256, 512)))
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
 
@@ -57,8 +50,17 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.wide = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.code = "H" if self.wide == "<u2" else "I"
-        self.by_bytes = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
+        split = self.tokenizer.pre_tokenizer
+        self.by_bytes = (
+            self.tokenizer.normalizer is None
+            and type(split).__name__ == "ByteLevel"
+            and split.use_regex
+            and not any(x.isspace() for s in self.special for x in s)
+        )
+        # Ids that begin with a space or a line break, as byte-level vocabularies spell them.
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t[:1] in ("Ġ", "Ċ")]] = True
+        self.id_bytes = np.dtype(self.wide).itemsize
         self.known: dict[str, bytes] = {}
         (self.newline,) = self._encode(["\n"])
 
@@ -72,31 +74,23 @@ class PieceEncoder:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.wide).tobytes() for x in made]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of pieces; what the tokenizer takes as one word goes to its merges at once."""
-        if not self.by_bytes:
-            return self._encode(words)
-        merge, rest, found = self.tokenizer.model.tokenize, [], []
-        for w in words:
-            if _ONE_WORD.fullmatch(w):
-                ids = [t.id for t in merge(w.encode().decode("latin-1").translate(_BYTE_LETTERS))]
-                found.append(array(self.code, ids).tobytes())
-            else:
-                rest.append(w)
-                found.append(None)
-        others = iter(self._encode(rest))
-        return [next(others) if x is None else x for x in found]
-
     def _learn(self, new: list[str]) -> None:
-        """Adds the ids of pieces to what is known."""
-        spelled = {p: p[1:] if p[:1] == "\n" else " " + p for p in new}
-        split = {p: m.groups() for p, x in spelled.items() if (m := _WORD_AND_MARKS.fullmatch(x))}
-        lines = {x for p, x in spelled.items() if p not in split}.union(*split.values()) if split else {*spelled.values()}
-        wanted = [x for x in lines if x]
-        made = dict(zip(wanted, self._encode_words(wanted))) | {"": b""}
-        for p, x in spelled.items():
-            ids = made[x] if p not in split else made[split[p][0]] + made[split[p][1]]
-            self.known[p] = self.newline + ids if p[:1] == "\n" else ids
+        """Adds the ids of pieces to what is known.
+
+        A byte-level tokenizer gives every piece a first id that begins with its space or
+        line break, which no other id of the piece has.  So all are encoded as one text
+        and told apart by those ids.
+        """
+        if not self.by_bytes:
+            bare = self._encode([p[1:] if p[:1] == "\n" else " " + p for p in new])
+            self.known.update((p, self.newline + ids if p[:1] == "\n" else ids) for p, ids in zip(new, bare))
+            return
+        (packed,) = self._encode(["".join([p if p[:1] == "\n" else " " + p for p in new])])
+        cuts = np.flatnonzero(self.opens[np.frombuffer(packed, dtype=self.wide)]) * self.id_bytes
+        if len(cuts) != len(new):
+            raise ValueError("the tokenizer does not begin every piece of text with an id of its own")
+        ends = cuts.tolist()[1:] + [len(packed)]
+        self.known.update(zip(new, [packed[a:b] for a, b in zip(cuts.tolist(), ends)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed unsigned numbers."""
@@ -109,7 +103,8 @@ class PieceEncoder:
             else:
                 cut.append(f"\n{text}".replace("\n", " \n").split(" ")[1:])
         new = list(set().union(*[c for c in cut if c]).difference(self.known))
-        self._learn(new)
+        if new:
+            self._learn(new)
         whole = iter(self._encode([t for t, c in zip(texts, cut) if c is None and t]))
         known, skip = self.known.__getitem__, len(self.newline)
         found = [
@@ -153,8 +148,8 @@ def _counts(tokens: DataFrame, wide: str, size: int) -> np.ndarray:
     def batch(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for part in rows:
-            for row in part.column(0):
-                total += np.bincount(np.frombuffer(row.as_py(), dtype=wide), minlength=size)
+            joined = b"".join(part.column(0).to_pylist())
+            total += np.bincount(np.frombuffer(joined, dtype=wide), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["token", "n"])
 
