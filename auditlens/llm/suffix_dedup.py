@@ -45,7 +45,7 @@ SIZE = 50
 GRAM = 16
 _PLACES = SIZE - GRAM + 1
 #: Bytes that numpy looks at together, and that one run of suffixes or hashes is made from.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 RUN_BYTES = 8 << 20
 #: Suffixes that are compared together; a larger group is one of its own.
 TOGETHER = 50_000
@@ -216,6 +216,8 @@ Suffix = tuple[bytes, bytes, int, int]
 def shared_prefix(a: bytes, b: bytes, start: int = 0) -> int:
     """The length of the common prefix, of which `start` bytes are known."""
     size, at = min(len(a), len(b)), start
+    if a[at:size] == b[at:size]:
+        return size
     while at + 8 <= size and a[at : at + 8] == b[at : at + 8]:
         at += 8
     while at < size and a[at] == b[at]:
@@ -385,23 +387,26 @@ def merge_runs(runs: list[Iterator[tuple[int, Suffix]]]) -> Iterator[tuple[int,
     common = [0] * count
 
     def advance(i: int) -> None:
-        common[i], heads[i] = next(runs[i], (0, None))
+        common[i], heads[i] = next(runs[i], (-1, None))  # a run at its end loses to all
 
     def beats(i: int, j: int) -> bool:
         """Whether head i comes first; the loser's number then counts from the winner."""
+        if common[i] != common[j]:
+            return common[i] > common[j]
         a, b = heads[i], heads[j]
         if a is None or b is None:
             return b is None
-        if common[i] != common[j]:
-            return common[i] > common[j]
         n = shared_prefix(a[0], b[0], common[i])
-        first = (a[0][n:], *a[1:], i) < (b[0][n:], *b[1:], j)
+        ends = n == len(a[0]), n == len(b[0])
+        if any(ends):
+            first = (*a[1:], i) < (*b[1:], j) if all(ends) else ends[0]
+        else:
+            first = a[0][n] < b[0][n]
         common[j if first else i] = n
         return first
 
     for i in range(count):
         advance(i)
-        common[i] = 0
     size = 1 << (count - 1).bit_length()
     losers = [-1] * size
     # Play all runs once, from the leaves up; -1 stands for no run.
@@ -423,8 +428,10 @@ def merge_runs(runs: list[Iterator[tuple[int, Suffix]]]) -> Iterator[tuple[int,
         node = (best + size) // 2
         while node:
             rival = losers[node]
-            if rival >= 0 and not beats(best, rival):
-                losers[node], best = best, rival
+            if rival >= 0:
+                mine, other = common[best], common[rival]
+                if other > mine or other == mine and not beats(best, rival):
+                    losers[node], best = best, rival
             node //= 2
 
 
