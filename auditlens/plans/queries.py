@@ -25,7 +25,7 @@ from auditlens.operators import (
 )
 from auditlens.operators.chain_log import ChainLog
 from auditlens.plans import corpus, oracle
-from auditlens.session import cut_lineage, remove_folder, shared_folder
+from auditlens.session import cut_lineage, is_folder, remove_folder, shared_folder
 from auditlens.sources import python_files, sinks, tables
 from auditlens.sources.binary import decode_source
 from auditlens.sources.tree_source import read_tree
@@ -507,8 +507,10 @@ def l4(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    schema = corpus.table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """A given table as a stream of its files, of which there may be one or a folder full."""
+    path, reader = f"{d}/{name}.parquet", spark.readStream.schema(corpus.table(spark, d, name).schema)
+    # A stream reads folders; the filter goes by the names of files, so it serves a table of one file only.
+    return reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
 def s1(spark: SparkSession, d: str) -> DataFrame:

@@ -69,6 +69,12 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path, on whatever file system it is, is a folder; an error if nothing is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder, so that lost executors cost no recomputation."""
     context = df.sparkSession.sparkContext

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from shutil import copyfile
 
 from auditlens.operators import agents
+from auditlens.plans import queries
 from auditlens.sources.tables import EVENT_SCHEMA
 from auditlens.streaming import agent_status, agent_totals
 
@@ -59,3 +61,23 @@ def test_status_follows_late_control_events(spark, tmp_path):
     whole = spark.createDataFrame(rows(range(50)), EVENT_SCHEMA)
     expected = sorted(map(tuple, agents.agent_status(registry, whole).collect()))
     assert sorted(map(tuple, agent_status.read_agent_status(spark, out, registry).collect())) == expected
+
+
+def test_stream_queries_read_tables_of_one_file_and_of_many(spark, tmp_path):
+    texts = [(i // 3, i % 3, "user", f"text {i}") for i in range(40)]
+    arriving = spark.createDataFrame(texts, "conv_id long, turn long, role string, text string")
+    logged = spark.range(60).selectExpr(
+        "id AS event_id", "TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts", "id % 7 AS user_id",
+        "'view' AS event_type", "id * 0.25D AS value", "concat('{\"k\": ', id, '}') AS props",
+    )
+    many, single = tmp_path / "many", tmp_path / "single"
+    single.mkdir()
+    for name, table in (("conversations", arriving), ("events", logged)):
+        table.repartition(3).write.parquet(str(many / f"{name}.parquet"))
+        table.coalesce(1).write.parquet(str(tmp_path / name))
+        copyfile(next((tmp_path / name).glob("part-*.parquet")), single / f"{name}.parquet")
+    for folder in (str(many), str(single)):
+        for streamed, batch in ((queries.s1, queries.b3), (queries.s2, queries.g7)):
+            found, expected = streamed(spark, folder), batch(spark, folder)
+            rows_found = sorted(map(repr, found.collect()))
+            assert rows_found and rows_found == sorted(map(repr, expected.select(*found.columns).collect()))
