@@ -130,7 +130,7 @@ class ChainLog:
         """
         fields = [F.col(c) if c in new.columns else F.lit(None).alias(c) for c in EVENT_FIELDS if c != "chain_hash"]
         # Written once: the events are judged against the heads and linked from the same rows.
-        rows = cut_lineage(new.select(*fields))
+        rows = cut_lineage(new.select(*fields).withColumn("digest", event_digest()))
         refused: list[DataFrame] = []
 
         def write(version: int) -> dict:
@@ -150,26 +150,25 @@ class ChainLog:
         joined = rows.join(heads, rows["agent_id"].eqNullSafe(heads["__agent"]), "left").drop("__agent")
         late = F.coalesce(F.struct(*ORDER) <= F.struct("last_ts", "last_id"), F.lit(False))
         error = F.concat(F.lit("not later than the last stored event of its agent: event "), F.col("id").cast("string"))
-        refused = joined.where(late).select(*[c for c in rows.columns], error.alias("error"))
-        accepted = joined.where(~late).withColumn("digest", event_digest())
-        linked = with_previous(accepted, "agent_id", ORDER, {"previous_digest": "digest"})
+        refused = joined.where(late).select(*[c for c in rows.columns if c != "digest"], error.alias("error"))
+        linked = with_previous(joined.where(~late), "agent_id", ORDER, {"previous_digest": "digest"})
         before = F.coalesce("previous_digest", "last_digest", F.lit(GENESIS))
         pads = key_pads(self.spark, self.key)
         chained = linked.withColumn("chain_hash", hmac_sha256(F.concat(before, F.col("digest")), pads))
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         added = {kind: self.table.new_folder(kind) for kind in ("events", "heads", "anchors", "index")}
         # Files hold one range of (ts, id) each, which pages rely on.
-        ordered = cut_lineage(chained.select(*EVENT_FIELDS, F.lit(version).alias("version")))
-        ordered.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER).write.parquet(added["events"])
+        ordered = cut_lineage(chained.select(*EVENT_FIELDS, F.lit(version).alias("version"), "digest"))
+        ordered.drop("digest").repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER).write.parquet(added["events"])
         schema = T.StructType([*EVENT_SCHEMA.fields, T.StructField("version", T.IntegerType())])
         stored = self.spark.read.schema(schema).parquet(added["events"])
         self._write_index(stored, added["index"])
         place = F.struct(*ORDER)
         totals = cut_lineage(
-            stored.groupBy("agent_id").agg(
+            ordered.groupBy("agent_id").agg(
                 F.count(F.lit(1)).alias("n"),
                 F.max(place).alias("last"),
-                F.max_by(event_digest(), place).alias("digest"),
+                F.max_by("digest", place).alias("digest"),
             )
         )
         depth = _depth(totals.agg(F.max("n")).first()[0] or 0)

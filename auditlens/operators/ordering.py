@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from auditlens.session import cut_lineage
 
+#: A key of so many rows is one task's work.
+SLICE_ROWS = 100_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low bits
 
 
@@ -60,20 +62,32 @@ def _as_number(name: str, kind: T.DataType) -> Column:
     return F.conv(head, 16, 10).cast("double")
 
 
-def _slice_of(df: DataFrame, name: str) -> Column:
-    """The number of a row's slice in the order of a column; slices have about as many rows each.
+def _large_keys(keyed: DataFrame) -> DataFrame:
+    """(__key, __bounds): the keys to be cut, with the bounds of their slices of about equal size.
 
-    There are twice as many as shuffle partitions, as range partitioning would have bounds.
+    Only the largest keys, one for each shuffle partition at most, can hold more than a task's share
+    of the rows, so the table is small.  It is written once: every user of it must see the same bounds.
     """
-    number = _as_number(name, df.schema[name].dataType)
-    n = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    largest = keyed.groupBy("__key").count().orderBy(F.col("count").desc()).limit(partitions)
+    large = largest.where(F.col("count") > SLICE_ROWS).select("__key")
+    # Twice as many slices as shuffle partitions at most, as range partitioning would have bounds.
+    n = 2 * partitions
     shares = [i / n for i in range(1, n)]
-    found = df.select(F.percentile_approx(number, shares, max(10_000, 20 * n)).alias("bounds")).first()
-    bounds = sorted(set((found["bounds"] if found else None) or []))
-    if not bounds:
-        return F.lit(0)
-    table = F.array(*[F.lit(float(b)) for b in bounds])
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    found = (
+        keyed.join(F.broadcast(large), "__key")
+        .groupBy("__key")
+        .agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx("__number", shares, max(10_000, 20 * n)).alias("all"))
+    )
+    step = F.greatest(F.lit(1), F.floor(F.lit(n * SLICE_ROWS / 2) / F.col("rows")))
+    bounds = F.filter("all", lambda _, i: (i + 1) % step == 0)
+    return cut_lineage(found.select("__key", bounds.alias("__bounds")))
+
+
+def _slice() -> Column:
+    """The number of a row's slice in the order of __number: 0 for a key in one piece, and nulls come first."""
+    table = F.col("__bounds")
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(table) + F.lit(1.0))).cast("int"))
 
     def halved(state: Column, _: Column) -> Column:
         middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
@@ -83,34 +97,41 @@ def _slice_of(df: DataFrame, name: str) -> Column:
             F.when(less | (state["low"] >= state["high"]), state["high"]).otherwise(middle).alias("high"),
         )
 
-    first = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
-    # Nulls come first.
-    return F.when(F.col("__number").isNotNull(), F.aggregate(steps, first, halved)["low"]).otherwise(-1)
+    first = F.struct(F.lit(0).alias("low"), F.size(table).alias("high"))
+    found = F.when(F.col("__number").isNotNull(), F.aggregate(steps, first, halved)["low"]).otherwise(-1)
+    return F.when(table.isNull(), F.lit(0)).otherwise(found)
 
 
 def with_previous(df: DataFrame, key: str, order: Sequence[str], values: dict[str, str]) -> DataFrame:
     """Add columns of the previous row of the same key: {output name: source column}.
 
     The first row of a key gets nulls.  `has_previous` tells a missing row from a
-    null value.  Rows are shuffled once, by key and slice of the order, so that a key of
-    any size is spread out, and take the row before from a window.  The first row of
-    a slice takes the last one of an earlier slice, from a table with a row per key and slice.
+    null value.  Rows are shuffled once and take the row before from a window.  A key of more than
+    SLICE_ROWS rows that is among the largest is cut along the order, so that it is spread out
+    whatever its size; the first row of a slice takes the last one of an earlier slice, from a
+    table with a row per large key and slice.
     """
     number = _as_number(order[0], df.schema[order[0]].dataType)
     ready = df.withColumns(
         {"__number": number, "__key": F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("n"))}
     )
-    sliced = ready.withColumn("__slice", _slice_of(df, order[0])).drop("__number")
+    bounds = _large_keys(ready.select("__key", "__number"))
+    sliced = (
+        ready.join(F.broadcast(bounds), "__key", "left")
+        .withColumns({"__slice": _slice(), "__cut": F.col("__bounds").isNotNull()})
+        .drop("__number", "__bounds")
+    )
     row = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(values.values())], F.lit(True).alias("known"))
-    spread = sliced.repartition("__key", "__slice")
     within = Window.partitionBy("__key", "__slice").orderBy(*order)
-    shifted = spread.withColumn("__before", F.lag(row).over(within))
-    ends = spread.groupBy("__key", "__slice").agg(F.max_by(row, F.struct(*order)).alias("__end"))
+    shifted = sliced.repartition("__key", "__slice").withColumn("__before", F.lag(row).over(within))
+    # Rows of large keys alone, of which each task sends one a slice.
+    ends = sliced.where("__cut").groupBy("__key", "__slice").agg(F.max_by(row, F.struct(*order)).alias("__end"))
     earlier = ends.select(
         "__key", "__slice", F.lag("__end").over(Window.partitionBy("__key").orderBy("__slice")).alias("__end")
     )
     before = F.coalesce("__before", "__end")
-    return shifted.join(earlier, ["__key", "__slice"], "left").select(
+    # At most two rows for every SLICE_ROWS rows.
+    return shifted.join(F.broadcast(earlier), ["__key", "__slice"], "left").select(
         *df.columns,
         *[before[f"v{i}"].alias(out) for i, out in enumerate(values)],
         before.isNotNull().alias("has_previous"),

@@ -7,10 +7,11 @@ import hmac
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auditlens.functions.hashing import hmac_sha256, key_pads
-from auditlens.operators import agents, chain, history
+from auditlens.operators import agents, chain, history, ordering
 from auditlens.operators.ordering import with_position, with_previous
 from auditlens.sources.tables import EVENT_SCHEMA
 
@@ -103,6 +104,28 @@ def test_previous_row(spark):
     assert got == {("a", 1): (False, None), ("a", 2): (True, None), ("a", 5): (True, "x"), ("b", 3): (False, None)}
 
 
+def test_previous_row_in_keys_that_are_cut(spark, monkeypatch):
+    """Large and small keys, null keys and null places: as a window over the whole key gives it."""
+    monkeypatch.setattr(ordering, "SLICE_ROWS", 50)
+    key = F.when(F.col("id") % 3 != 0, F.lit("hot")).when(F.col("id") % 2 == 0, (F.col("id") % 40).cast("string"))
+    df = spark.range(0, 3000, 1, 5).select(
+        key.alias("k"), F.when(F.col("id") % 50 != 0, F.col("id") * 7919 % 700).alias("n"), F.col("id").alias("i"),
+        F.when(F.col("id") % 7 != 0, F.col("id")).alias("v"),
+    )
+    whole = Window.partitionBy("k").orderBy("n", "i")
+    expected = df.withColumns({"p": F.lag("v").over(whole), "has_previous": F.lag(F.lit(True), 1, False).over(whole)})
+    found = with_previous(df, "k", ["n", "i"], {"p": "v"})
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect()))
+
+
+def test_rows_of_small_keys_are_shuffled_once(spark):
+    df = spark.range(0, 3000, 1, 5).select((F.col("id") % 400).cast("string").alias("k"), F.col("id").alias("v"))
+    linked = with_previous(df, "k", ["v"], {"p": "v"})
+    linked.collect()
+    final = linked._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning") == 1 and "Join" not in final
+
+
 def test_pages_follow_each_other(spark, log):
     """Also where many events share a time and an id."""
     same = log.withColumns({"id": F.floor(F.col("id") / 7), "ts": F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz")})
