@@ -13,10 +13,13 @@ the rules that can cross a boundary, a text and its edge are alike in any surrou
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from auditlens.functions.matching import INLINE_S, INLINE_SPACE_CHARS, SPACE_CHARS, S, W, alternation
+from auditlens.functions.matching import INLINE_S, INLINE_SPACE_CHARS, S, W, alternation
 from auditlens.functions.rules import DEFENCE_NOUNS, DEFENCE_VERBS, GUARD_MODULES
 from auditlens.functions.text import has_triple_quote
 
@@ -30,14 +33,17 @@ _MIDDLE = f"(?ds)\\A({_HEAD})(?:\\n|\\n.*\\n)({_TAIL})\\z"
 # A definition looks at three lines, so longer blank runs say no more than four blank lines.
 _LONG_GAP = f"\\n(?:{INLINE_S}*+\\n){{5,}}+"
 # Rules take any number of blanks or, where one character may stand between two words, at most one.
-_LONG_SPACE = f"({INLINE_S}{{2}}){INLINE_S}+"
+# The class before it holds all blanks and little else, and is far cheaper to try at every character.
+_LONG_SPACE = f"(?=[^!-~\\u00a1-\\u167f\\u3001-\\uffff]{{3}})({INLINE_S}{{2}}){INLINE_S}+"
 # No word of a rule is longer than what is kept of a run on either side.
 _KEPT = f"{W}{{20}}"
 _NAMES, _NOUNS = alternation(GUARD_MODULES), alternation(DEFENCE_NOUNS)
 _LONG_RUN = f"(?iu)(?<!{W})(?={W}{{70}})(?:(?={W}*?({_NAMES}))|)(?:(?={W}*?({_NOUNS}))|)({_KEPT}){W}{{30,}}({_KEPT})(?!{W})"
-_TOKENS = f"(?:{W}++|{INLINE_S}++|[^\\p{{L}}\\p{{N}}_{SPACE_CHARS}]){{9}}"
+# Word characters again, those of ASCII first, which takes half the time.
+_WORD = r"[\w\p{L}\p{N}]"
+_TOKENS = f"(?>{_WORD}++|{INLINE_S}++|[^\\n]){{9}}"
 _MARK = "￾"
-_LONG_LINE = f"(?dm)^({_TOKENS})([^\\n]+)(?:(?<!{W})|(?!{W}))({_TOKENS})$"
+_LONG_LINE = f"(?dm)^({_TOKENS})([^\\n]+)(?:(?<!{_WORD})|(?!{_WORD}))({_TOKENS})$"
 # What a line's middle may give to either side: a noun to a definition before it, and the last
 # definition that may find its noun, or its verb, later.
 _OPEN_DEFINITION = f"def{S}+{alternation(DEFENCE_VERBS)}"
@@ -45,19 +51,37 @@ _LINE_MIDDLE = (
     f"(?iu){_MARK}(?:(?=[^{_MARK}]*?({_NOUNS}))|)(?:(?=[^{_MARK}]*?({_OPEN_DEFINITION}))|)"
     f"(?:(?=[^{_MARK}]*(def{INLINE_S}*){_MARK})|)[^{_MARK}]*{_MARK}"
 )
+_PLAIN_MIDDLE = f"{_MARK}[^{_MARK}]*+{_MARK}"
+
+
+def _bind(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _notable(text: Column) -> Column:
+    """False if no line has anything to note; the two letters are those that equal an `i` when case is ignored."""
+    words = _bind(F.lower(text), lambda low: reduce(or_, [low.contains(w) for w in ("def", *DEFENCE_NOUNS)]))
+    return words | text.contains("\u0130") | text.contains("\u0131")
 
 
 def _short_lines(text: Column) -> Column:
     """Lines with at most eighteen tokens, each of bounded length, and the notes on what is left out."""
-    runs = F.regexp_replace(F.regexp_replace(text, _LONG_SPACE, "$1"), _LONG_RUN, "$3__$1__$2__$4")
-    marked = F.regexp_replace(runs, _LONG_LINE, f"$1{_MARK}$2{_MARK}$3")
+    # A run is one token however long it is, so lines are cut first and runs in what is kept of them.
+    marked = F.regexp_replace(F.regexp_replace(text, _LONG_SPACE, "$1"), _LONG_LINE, f"$1{_MARK}$2{_MARK}$3")
+    noted = _bind(
+        marked,
+        lambda m: F.when(_notable(m), F.regexp_replace(m, _LINE_MIDDLE, "~$1~$2~$3")).otherwise(
+            F.regexp_replace(m, _PLAIN_MIDDLE, "~~~")
+        ),
+    )
     # A text that holds the mark itself keeps its lines.
-    return F.when(text.contains(_MARK), text).otherwise(F.regexp_replace(marked, _LINE_MIDDLE, "~$1~$2~$3"))
+    return F.when(text.contains(_MARK), text).otherwise(F.regexp_replace(noted, _LONG_RUN, "$3__$1__$2__$4"))
 
 
 def edge(text: Column) -> Column:
     short = F.regexp_replace(text, _MIDDLE, f"$1\n{FILLER}\n$2")
-    return F.regexp_replace(_short_lines(short), _LONG_GAP, "\n\n\n\n\n")
+    return F.regexp_replace(_bind(short, _short_lines), _LONG_GAP, "\n\n\n\n\n")
 
 
 # What opens a text: code, or the inside of a block of either quote kind.
@@ -103,11 +127,6 @@ def _lexed_end(lexed: Column) -> Column:
     )
 
 
-def _bind(value: Column, body) -> Column:
-    """`body(value)` with `value` computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def lexed_cases(text: Column) -> Column:
     """array<struct<state, text>>: a text read from each state, in three cases of what follows it.
 

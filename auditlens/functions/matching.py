@@ -26,16 +26,27 @@ INLINE_S = f"[{INLINE_SPACE_CHARS}]"
 W = r"[\p{L}\p{N}_]"
 # Letters outside ASCII that equal an ASCII letter when case is ignored.  Rows
 # that hold one of them take the regular expression; all others may be lower-cased.
-ODD_CASE = r"[\u017f\u212a\u0130\u0131]"
+ODD_CASE = "\u017f\u212a\u0130\u0131"
+# Pieces that several words of the rules share.  Each is looked for once per row, and the
+# words that hold it only where it is found; the choice changes times, not results.
+PROBES = (
+    "openai", "langchain", "crew", "autogen", "haystack", "anthropic", "agent", "completions", "vectorstore",
+    "retriev", "log", "retry", "backoff", "tenacity", "except", "try", "budget", "throttle", "instrument", "lang",
+)
 
 
 @dataclass(frozen=True)
 class Text:
-    """Names of a text column and of the two columns derived from it once per row."""
+    """Names of a text column and of the columns derived from it once per row.
+
+    `names` and `probes` may be left out, and words are then looked for in the whole text.
+    """
 
     raw: str
     low: str
     odd: str
+    names: str | None = None
+    probes: str | None = None
 
 
 def lowered(col: Column) -> Column:
@@ -45,7 +56,20 @@ def lowered(col: Column) -> Column:
 def has_odd_case(col: Column) -> Column:
     """True when lower-casing the text is not enough to ignore case."""
     # Every such letter takes two or three bytes, so plain ASCII rows skip the search.
-    return (F.octet_length(col) != F.char_length(col)) & col.rlike(ODD_CASE)
+    found = reduce(lambda a, b: a | b, [col.contains(letter) for letter in ODD_CASE])
+    return (F.octet_length(col) != F.char_length(col)) & found
+
+
+def underscored(low: Column) -> Column:
+    """The pieces between spaces that hold an underscore: all that a word with one can be found in."""
+    pieces = F.filter(F.split(low, " "), lambda piece: piece.contains("_"))
+    return F.when(~low.contains("_"), "").otherwise(F.array_join(pieces, " "))
+
+
+def probed(low: Column) -> Column:
+    """A number with a bit for each of PROBES, set if the text holds it."""
+    bits = [F.when(low.contains(p), 1 << i).otherwise(F.when(low.isNotNull(), 0)) for i, p in enumerate(PROBES)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
 def _shortest(words: Sequence[str]) -> list[str]:
@@ -64,14 +88,40 @@ def sql_text(value: str) -> str:
 
 
 def _contains_any(text: Text, words: Sequence[str], fold: bool) -> str:
-    col = text.low if fold else text.raw
     shown = _shortest([w.lower() for w in words] if fold else list(words))
-    return "(" + " OR ".join(f"contains({col}, {sql_text(w)})" for w in shown) + ")"
+    # Words under one guard, which holds wherever one of them occurs, are looked for together.
+    guarded: dict[str, list[str]] = {}
+    for w in shown:
+        guarded.setdefault(_guard(text, w), []).append(_contains(text, w, fold))
+    tests = [f"({g} AND ({' OR '.join(ws)}))" if g else " OR ".join(ws) for g, ws in guarded.items()]
+    return "(" + " OR ".join(tests) + ")"
+
+
+def _piece(word: str) -> str | None:
+    """The part of a word that shows up in `underscored`, if there is one."""
+    return next((p for p in word.lower().split(" ") if "_" in p), None)
+
+
+def _contains(text: Text, word: str, fold: bool) -> str:
+    # Folded words are in lower case, as `names` is.
+    col = text.raw if not fold else text.names if text.names and _piece(word) == word else text.low
+    return f"contains({col}, {sql_text(word)})"
+
+
+def _guard(text: Text, word: str) -> str:
+    """A cheap condition that holds wherever the word occurs, or nothing."""
+    piece = _piece(word)
+    if text.names and piece:
+        return "" if piece == word else f"contains({text.names}, {sql_text(piece)})"
+    bit = next((i for i, p in enumerate(PROBES) if p in word.lower()), None)
+    return f"({text.probes} & {1 << bit}) <> 0" if text.probes and bit is not None else ""
 
 
 def _checked(text: Text, groups: Sequence[Sequence[str]], fold: bool, regex: str) -> str:
     """The expression, evaluated only where one word of every group is present."""
-    possible = " AND ".join(_contains_any(text, g, fold) for g in groups)
+    # Longer words are rarer, so a group of them is asked for first.
+    rarest = sorted(groups, key=lambda g: -min(map(len, g)))
+    possible = " AND ".join(_contains_any(text, g, fold) for g in rarest)
     if fold:
         possible = f"({text.odd} OR ({possible}))"
     return f"({possible} AND rlike({text.raw}, {sql_text(regex)}))"

@@ -37,12 +37,12 @@ def file_signals(files: DataFrame, edges: bool = False) -> DataFrame:
 
     `readings` has a file with triple quotes as it reads in every case; see `lexed_cases`.
     """
-    prepared = prepare(files, "code")
+    prepared, text = prepare(files, "code", guards=True), code_text(guards=True)
     columns: dict[str, Column] = {
-        **match_all(FRAMEWORKS, code_text(), "fw_"),
-        "trust_layer": TRUST_LAYER.on(code_text()),
-        **match_all(CODE_SIGNALS, code_text()),
-        **match_all(HALF_SIGNALS, code_text()),
+        **match_all(FRAMEWORKS, text, "fw_"),
+        "trust_layer": TRUST_LAYER.on(text),
+        **match_all(CODE_SIGNALS, text),
+        **match_all(HALF_SIGNALS, text),
         **match_all(BARE_SIGNALS, bare_text()),
         **count_columns(F.col("__code")),
     }

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.functions import text as T
-from auditlens.functions.matching import Rule, Text, has_odd_case, lowered
+from auditlens.functions.matching import Rule, Text, has_odd_case, lowered, probed, underscored
 from auditlens.functions.rules import BARE_SIGNALS, CODE_SIGNALS, FRAMEWORKS, TRUST_LAYER
 
 COUNTS = ("n_defs", "n_documented", "n_functions", "n_typed")
@@ -22,10 +22,14 @@ SIGNALS = (*FLAGS, *COUNTS)
 
 _LOW, _ODD, _BARE, _BARE_LOW = "__low", "__odd", "__bare", "__bare_low"
 _CODE_TEXT, _NO_COMMENTS = "__code", "__no_comments"
+_NAMES, _PROBES = "__names", "__probes"
 
 
-def prepare(df: DataFrame, code: str | Column, bare: bool = True) -> DataFrame:
-    """Add the lower-cased and the comment-free text, each computed once per row."""
+def prepare(df: DataFrame, code: str | Column, bare: bool = True, guards: bool = False) -> DataFrame:
+    """Add the lower-cased and the comment-free text, each computed once per row.
+
+    `guards` adds what spares most words a search of the whole text, which pays for many rules.
+    """
     src = F.col(code) if isinstance(code, str) else code
     out = df.withColumn(_CODE_TEXT, src)
     cols: dict[str, Column] = {_LOW: lowered(F.col(_CODE_TEXT)), _ODD: has_odd_case(F.col(_CODE_TEXT))}
@@ -36,11 +40,13 @@ def prepare(df: DataFrame, code: str | Column, bare: bool = True) -> DataFrame:
     if bare:
         out = out.withColumn(_BARE, T.strip_blocks(F.col(_NO_COMMENTS)))
         out = out.withColumn(_BARE_LOW, lowered(F.col(_BARE)))
+    if guards:
+        out = out.withColumns({_NAMES: underscored(F.col(_LOW)), _PROBES: probed(F.col(_LOW))})
     return out
 
 
-def code_text() -> Text:
-    return Text(_CODE_TEXT, _LOW, _ODD)
+def code_text(guards: bool = False) -> Text:
+    return Text(_CODE_TEXT, _LOW, _ODD, _NAMES, _PROBES) if guards else Text(_CODE_TEXT, _LOW, _ODD)
 
 
 def bare_text() -> Text:
@@ -70,11 +76,13 @@ def with_signals(df: DataFrame, code: str = "code", only: Iterable[str] | None =
     """Add the signal columns named in `only` (all by default); no shuffle."""
     wanted = list(SIGNALS if only is None else only)
     needs_bare = any(w in BARE_SIGNALS for w in wanted)
-    prepared = prepare(df, code, bare=needs_bare)
+    guards = len(wanted) > len(FRAMEWORK_FLAGS)
+    text = code_text(guards)
+    prepared = prepare(df, code, bare=needs_bare, guards=guards)
     available: dict[str, Column] = {
-        **match_all(FRAMEWORKS, code_text(), "fw_"),
-        "trust_layer": TRUST_LAYER.on(code_text()),
-        **match_all(CODE_SIGNALS, code_text()),
+        **match_all(FRAMEWORKS, text, "fw_"),
+        "trust_layer": TRUST_LAYER.on(text),
+        **match_all(CODE_SIGNALS, text),
         **(match_all(BARE_SIGNALS, bare_text()) if needs_bare else {}),
         **count_columns(F.col(_CODE_TEXT)),
     }

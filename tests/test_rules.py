@@ -9,9 +9,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from auditlens.functions import rules
+from auditlens.functions import matching, rules
 from auditlens.operators import findings, screen
-from auditlens.operators.signals import with_signals
+from auditlens.operators.signals import code_text, prepare, with_signals
 from auditlens.plans import oracle
 
 # Signal name -> the name of its pattern in the SQL module.
@@ -193,3 +193,26 @@ def test_long_lines_take_linear_time(spark, line):
     findings.scan_code(df).collect()
     screen.check_injection(df.withColumnRenamed("code", "text")).collect()
     assert time.time() - start < 20
+
+
+def test_shared_pieces_spare_words_a_search(spark):
+    """Words are found under guards as without them, and no guard misses a word of any rule."""
+    texts = [w for rs in (rules.FRAMEWORKS, rules.CODE_SIGNALS) for r in rs.values() for w in words_of(r)]
+    texts += rules.TRUST_LAYER.words
+    texts += [t.upper() for t in texts] + [f"é_ x{t}x _\n{t[::-1]} İ" for t in texts] + ["", "_", "a _ b", "ret ry", None]
+    df = spark.createDataFrame([(t,) for t in texts], "code string")
+    every = {**rules.FRAMEWORKS, **rules.CODE_SIGNALS, "trust_layer": rules.TRUST_LAYER}
+    prepared = prepare(df, "code", guards=True)
+    plain = [r.on(code_text()).alias(n) for n, r in every.items()]
+    guarded = [r.on(code_text(guards=True)).alias(n) for n, r in every.items()]
+    assert prepared.select("code", *guarded).collect() == prepared.select("code", *plain).collect()
+    searched = rules.CODE_SIGNALS["hitl"].sql(code_text(guards=True))
+    assert searched.count("contains(__low") < rules.CODE_SIGNALS["hitl"].sql(code_text()).count("contains(__low")
+
+
+def words_of(rule):
+    if isinstance(rule, matching.OneOf):
+        return [w for o in rule.options for w in words_of(o)]
+    if isinstance(rule, matching.Words):
+        return list(rule.words)
+    return [w for g in (rule.parts if isinstance(rule, matching.Chain) else rule.needs) for w in g]
