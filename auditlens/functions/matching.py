@@ -34,6 +34,9 @@ PROBES = (
     "retriev", "log", "retry", "backoff", "tenacity", "except", "try", "budget", "throttle", "instrument", "lang",
 )
 
+#: Texts up to this size are split into pieces; larger ones are searched as they are.
+SPLIT_BYTES = 1 << 20
+
 
 @dataclass(frozen=True)
 class Text:
@@ -61,9 +64,13 @@ def has_odd_case(col: Column) -> Column:
 
 
 def underscored(low: Column) -> Column:
-    """The pieces between spaces that hold an underscore: all that a word with one can be found in."""
+    """The pieces between spaces that hold an underscore: all that a word with one can be found in.
+
+    A text of more than SPLIT_BYTES stays whole, so that no array of all its pieces is built.
+    """
     pieces = F.filter(F.split(low, " "), lambda piece: piece.contains("_"))
-    return F.when(~low.contains("_"), "").otherwise(F.array_join(pieces, " "))
+    found = F.when(F.octet_length(low) > SPLIT_BYTES, low).otherwise(F.array_join(pieces, " "))
+    return F.when(~low.contains("_"), "").otherwise(found)
 
 
 def probed(low: Column) -> Column:

@@ -210,6 +210,15 @@ def test_shared_pieces_spare_words_a_search(spark):
     assert searched.count("contains(__low") < rules.CODE_SIGNALS["hitl"].sql(code_text()).count("contains(__low")
 
 
+def test_pieces_with_an_underscore(spark):
+    texts = ["", " ", "_", "a b_c  d _ e\n", "x\n y_\nz w\n", "no pieces here", "a_b", "é ü_ß q", "_ " * 3, "end _\n", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(matching.underscored(F.col("t"))).collect()
+    large = "a_b c " * 200_000
+    assert spark.createDataFrame([(large,)], "t string").select(matching.underscored(F.col("t"))).first()[0] == large
+    pieces = [None if r[0] is None else [p for p in r[0].split(" ") if p] for r in got]
+    assert pieces == [None if t is None else [p for p in t.split(" ") if "_" in p] for t in texts]
+
+
 def words_of(rule):
     if isinstance(rule, matching.OneOf):
         return [w for o in rule.options for w in words_of(o)]
