@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from auditlens.functions.hashing import canonical_text, hmac_sha256, key_pads
 from auditlens.operators.agents import EVENT_FIELDS, control_events, project_events
 from auditlens.operators.chain import GENESIS, ORDER, event_digest, verdict_columns
-from auditlens.operators.ordering import with_previous
+from auditlens.operators.ordering import PIECE, with_previous
 from auditlens.session import cut_lineage
 from auditlens.sources.commits import CommittedTable
 from auditlens.sources.tables import EVENT_SCHEMA
@@ -72,8 +72,9 @@ def _depth(largest: int) -> int:
 
 
 def _unit(*columns: str) -> Column:
-    """One text for several columns, null told from empty."""
-    return canonical_text([F.col(c) for c in columns])
+    """One text for several columns, null told from empty; digits of a hash come first, as sorts look at the first bytes."""
+    digits = F.substring(F.reverse(F.hex(F.xxhash64(*columns))), 1, 6)
+    return F.concat(digits, F.lit(":"), canonical_text([F.col(c) for c in columns]))
 
 
 class ChainLog:
@@ -152,7 +153,8 @@ class ChainLog:
         error = F.concat(F.lit("not later than the last stored event of its agent: event "), F.col("id").cast("string"))
         refused = joined.where(late).select(*[c for c in rows.columns], error.alias("error"))
         accepted = joined.where(~late).withColumn("digest", event_digest())
-        linked = with_previous(accepted, "agent_id", ORDER, {"previous_digest": "digest"})
+        # Keys are sized on all rows, without the join with the heads.
+        linked = with_previous(accepted, "agent_id", ORDER, {"previous_digest": "digest"}, sized=rows)
         before = F.coalesce("previous_digest", "last_digest", F.lit(GENESIS))
         pads = key_pads(self.spark, self.key)
         chained = linked.withColumn("chain_hash", hmac_sha256(F.concat(before, F.col("digest")), pads))
@@ -234,13 +236,23 @@ class ChainLog:
                 "agent_id", "version", *ORDER, "chain_hash", event_digest().alias("digest"), _unit("agent_id", "version").alias("unit")
             )
         )
-        linked = with_previous(narrow, "unit", ORDER, {"previous_digest": "digest"})
+        linked = with_previous(narrow, "unit", ORDER, {"previous_digest": "digest"}, pieces=True)
         fits = F.col("chain_hash").eqNullSafe(hmac_sha256(F.concat("previous_digest", "digest"), pads))
-        per_unit = linked.groupBy("unit").agg(
+        # First where the rows lie, sorted as they are; a unit has several pieces only if it is large.
+        place = F.struct(*ORDER)
+        per_piece = linked.groupBy(*PIECE).agg(
+            F.first("unit").alias("unit"),
             F.first("agent_id").alias("found_agent"),
             F.count(F.lit(1)).alias("found"),
             F.bool_and(~F.col("has_previous") | F.coalesce(fits, F.lit(False))).alias("fits"),
-            F.min_by(F.struct("digest", "chain_hash"), F.struct(*ORDER)).alias("opening"),
+            F.min(place).alias("from"),
+            F.min_by(F.struct("digest", "chain_hash"), place).alias("opening"),
+        )
+        per_unit = per_piece.groupBy("unit").agg(
+            F.first("found_agent").alias("found_agent"),
+            F.sum("found").alias("found"),
+            F.bool_and("fits").alias("fits"),
+            F.min_by("opening", "from").alias("opening"),
         )
         recorded = anchors.withColumn("unit", _unit("agent_id", "version"))
         roots = None

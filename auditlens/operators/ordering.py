@@ -19,6 +19,8 @@ from auditlens.session import cut_lineage
 #: A key of so many rows is one task's work.
 SLICE_ROWS = 100_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low bits
+#: What `with_previous` adds with `pieces`: its rows lie sorted by these columns, those of equal ones in one task.
+PIECE = ("__key", "__slice")
 
 
 def with_position(df: DataFrame, order: Sequence[str], output: str = "position") -> DataFrame:
@@ -102,7 +104,9 @@ def _slice() -> Column:
     return F.when(table.isNull(), F.lit(0)).otherwise(found)
 
 
-def with_previous(df: DataFrame, key: str, order: Sequence[str], values: dict[str, str]) -> DataFrame:
+def with_previous(
+    df: DataFrame, key: str, order: Sequence[str], values: dict[str, str], sized: DataFrame | None = None, pieces: bool = False
+) -> DataFrame:
     """Add columns of the previous row of the same key: {output name: source column}.
 
     The first row of a key gets nulls.  `has_previous` tells a missing row from a
@@ -110,20 +114,21 @@ def with_previous(df: DataFrame, key: str, order: Sequence[str], values: dict[st
     SLICE_ROWS rows that is among the largest is cut along the order, so that it is spread out
     whatever its size; the first row of a slice takes the last one of an earlier slice, from a
     table with a row per large key and slice.
+
+    Keys are sized on the rows of `sized`, where those of `df` are some of them and cost more to read.
+    With `pieces` the columns PIECE are kept, so that a sum by them moves and sorts nothing.
     """
     number = _as_number(order[0], df.schema[order[0]].dataType)
-    ready = df.withColumns(
-        {"__number": number, "__key": F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("n"))}
-    )
-    bounds = _large_keys(ready.select("__key", "__number"))
+    cut_by = {"__number": number, "__key": F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("n"))}
+    bounds = _large_keys((df if sized is None else sized).withColumns(cut_by).select("__key", "__number"))
     sliced = (
-        ready.join(F.broadcast(bounds), "__key", "left")
+        df.withColumns(cut_by).join(F.broadcast(bounds), "__key", "left")
         .withColumns({"__slice": _slice(), "__cut": F.col("__bounds").isNotNull()})
         .drop("__number", "__bounds")
     )
     row = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(values.values())], F.lit(True).alias("known"))
-    within = Window.partitionBy("__key", "__slice").orderBy(*order)
-    shifted = sliced.repartition("__key", "__slice").withColumn("__before", F.lag(row).over(within))
+    within = Window.partitionBy(*PIECE).orderBy(*order)
+    shifted = sliced.repartition(*PIECE).withColumn("__before", F.lag(row).over(within))
     # Rows of large keys alone, of which each task sends one a slice.
     ends = sliced.where("__cut").groupBy("__key", "__slice").agg(F.max_by(row, F.struct(*order)).alias("__end"))
     earlier = ends.select(
@@ -135,4 +140,5 @@ def with_previous(df: DataFrame, key: str, order: Sequence[str], values: dict[st
         *df.columns,
         *[before[f"v{i}"].alias(out) for i, out in enumerate(values)],
         before.isNotNull().alias("has_previous"),
+        *(PIECE if pieces else ()),
     )

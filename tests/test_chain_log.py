@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from auditlens.operators import agents, chain, chain_log, history
+from auditlens.operators import agents, chain, chain_log, history, ordering
 from auditlens.operators.chain_log import ChainLog
 from auditlens.sources import commits
 from auditlens.sources.commits import CommittedTable
@@ -199,3 +199,33 @@ def test_two_writers_of_one_chain(spark, tmp_path):
     log.append(events(spark, [(5, "a", 5), (6, "b", 6)]))
     assert verdicts(log.verify()) == {"a": (3, 3, True), "b": (2, 2, True)}
     assert log.table.latest() == 3
+
+
+def test_keys_are_sized_without_the_heads(spark, tmp_path, monkeypatch):
+    """An append joins its rows with the heads to link them, and not once more to count them."""
+    plans = []
+    large_keys = ordering._large_keys
+    monkeypatch.setattr(
+        ordering, "_large_keys", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or large_keys(df)
+    )
+    log = ChainLog(spark, str(tmp_path), KEY)
+    for rows in BATCHES:
+        log.append(events(spark, rows))
+    assert len(plans) == len(BATCHES) and not any("Join" in p for p in plans)
+    assert verdicts(log.verify()) == INTACT
+
+
+def test_a_unit_in_several_pieces(spark, tmp_path, monkeypatch):
+    """Links, counts and openings of agents that are cut into slices, events without a time included."""
+    monkeypatch.setattr(ordering, "SLICE_ROWS", 8)
+    log = ChainLog(spark, str(tmp_path), KEY)
+    first = events(spark, [(i, "ab"[i % 4 == 0], i) for i in range(80)])
+    timeless = events(spark, [(i, "a", 0) for i in range(500, 503)]).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    log.append(first.unionByName(timeless))
+    log.append(events(spark, [(100 + i, "ab"[i % 4 == 0], 100 + i) for i in range(60)]))
+    assert verdicts(log.verify()) == {"a": (108, 108, True), "b": (35, 35, True)}
+    for i, broken in ((500, "a"), (2, "a"), (41, "a"), (101, "a"), (159, "a"), (0, "b"), (100, "b")):
+        edited = log.events().withColumn("raw_action", F.when(F.col("id") == i, "x").otherwise(F.col("raw_action")))
+        assert {a for a, v in verdicts(log.verify(edited)).items() if not v[2]} == {broken}, i
+    lost = verdicts(log.verify(log.events().where("id <> 41")))
+    assert lost == {"a": (107, 108, False), "b": (35, 35, True)}

@@ -99,6 +99,21 @@ def test_neighbours_need_no_join_of_rows(spark):
     assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
 
 
+def test_sums_by_piece_move_and_sort_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from auditlens.operators.ordering import PIECE, with_previous
+
+    events = corpus.agent_events(spark, FOLDER).select("agent_id", "ts", "id")
+    linked = with_previous(events, "agent_id", ["ts", "id"], {"before": "id"}, pieces=True)
+    # As a text is among the sums, they are made of sorted rows.
+    summed = linked.groupBy(*PIECE).agg(F.first("agent_id"), F.max("before"), F.bool_and("has_previous"))
+    before, after = plan(linked), plan(summed)
+    assert "SortAggregate" in after
+    assert len(re.findall(r"\bSort \[", after)) == len(re.findall(r"\bSort \[", before))
+    assert len(shuffles(after)) == len(shuffles(before))
+
+
 def test_code_is_read_only_where_no_framework_is_given(spark):
     text = plan(QUERIES["j2_remediation_join"](spark, FOLDER))
     assert "CASE WHEN isnull(nullif(framework" in text.replace("#", " #").replace(" #", "#").replace("`", "") or "__code" in text
