@@ -122,7 +122,8 @@ def with_previous(
     cut_by = {"__number": number, "__key": F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("n"))}
     bounds = _large_keys((df if sized is None else sized).withColumns(cut_by).select("__key", "__number"))
     sliced = (
-        df.withColumns(cut_by).join(F.broadcast(bounds), "__key", "left")
+        df.withColumns(cut_by)
+        .join(F.broadcast(bounds), "__key", "left")
         .withColumns({"__slice": _slice(), "__cut": F.col("__bounds").isNotNull()})
         .drop("__number", "__bounds")
     )
